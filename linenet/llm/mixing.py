@@ -3,11 +3,11 @@
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share the budget; none gets more
 than `MOST` times its own words, the excess goes to the others by weight. A source's documents fall into blocks by
 hash. Whole passes over the source come first; the rest of the target takes its blocks in a permuted order, and the
-block where the target is met is cut at a document. Every (block, pass) is one draw. A tree splits the draws among
+block where the target is met is cut at documents, within one small document of it. Every (block, pass) is one draw. A tree splits the draws among
 the output shards: at each node a keyed permutation ranks them and the left half takes its exact share of ranks, so
 the counts by source are a multivariate-hypergeometric draw and no draw is taken twice. Each shard shuffles locally.
 
-There are about `BLOCKS` blocks plus one per source whatever the input, so the tree's tables stay small.
+There are at most `BLOCKS` blocks plus one per source whatever the input, of about `BLOCK_DOCS` documents or more, so the tree's tables stay small.
 
 Cases: a null text has size 0; a null source is a source of its own; sources of size 0 have target 0; fully
 repeated rows share a hash and are taken alike; an empty table gives an empty table. Reruns agree (hashes only).
@@ -22,6 +22,8 @@ from linenet.llm.common import WORD, materialize, quoted, unpack, whole_row
 
 MOST = 3
 BLOCKS = 8192
+BLOCK_DOCS = 128
+ROUNDS = 4
 SHARDS = 16
 SEED = 20240607
 BROADCAST_ROWS = 100_000
@@ -44,7 +46,7 @@ def targets(sizes: DataFrame, budget: float = 1.0) -> DataFrame:
         .withColumn("level", F.max("level").over(whole))  # it rises while sources are capped, in this order, then falls
     )
     target = F.least(F.col("cap"), F.col("level") * F.col("weight"))
-    return filled.select("source", "source_no", "source_size", "weight", target.alias("target"))
+    return filled.select(*sizes.columns, "source_no", "weight", target.alias("target"))
 
 
 def split_tree(draws: DataFrame, keys: list[str], shards: int, seed: int) -> DataFrame:
@@ -68,7 +70,7 @@ def split_tree(draws: DataFrame, keys: list[str], shards: int, seed: int) -> Dat
 
 
 class Mix:
-    """The plan of one mix: `sources` (targets), `blocks` (source_no, block, passes, cut, shards) and, by row, what is taken."""
+    """The plan of one mix: `sources` (targets), `blocks` (source_no, block, passes, cuts, homes) and, by row, what is taken."""
 
     def __init__(self, docs: DataFrame, shards: int = SHARDS, seed: int = SEED, budget: float = 1.0, text: str = "text", ident: str = "doc_id", source: str = "source"):
         self.docs, self.shards, self.seed = docs, shards, seed
@@ -76,13 +78,13 @@ class Mix:
         self._hash = F.xxhash64(F.lit(seed), quoted(ident), quoted(text))
         self._source = quoted(source)
         self.rows = materialize(docs.select(quoted(ident).alias("doc_id"), self._source.alias("source"), self._size.alias("size"), self._hash.alias("h")), "mix-rows")
-        sizes = materialize(self.rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sizes")
+        sizes = materialize(self.rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), "mix-sizes")
         total = F.sum("source_size").over(Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         self.sources = materialize(
             targets(sizes, budget)
             .withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(MOST), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int"))
             .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-            .withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.lit(BLOCKS) * F.col("source_size") / F.greatest(total, F.lit(1)))).cast("int")),
+            .withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.ceil(F.col("n_docs") / BLOCK_DOCS), F.ceil(F.lit(BLOCKS) * F.col("source_size") / F.greatest(total, F.lit(1))))).cast("int")),
             "mix-sources",
         )
         self.blocks = materialize(self._plan(), "mix-blocks")
@@ -103,15 +105,21 @@ class Mix:
         ranked = sized.withColumn("upto", upto).withColumn("need", F.col("rest") - (F.col("upto") - F.col("words")))
         ranked = materialize(ranked.withColumn("whole", F.col("need") >= F.col("words")).withColumn("partly", ~F.col("whole") & (F.col("need") > 0)), "mix-ranked")
         edge = ranked.where("partly").select("source_no", "block", "need")  # one block per source
-        tied = rows.select("source_no", "block", "h", "size").join(F.broadcast(edge) if edge.count() <= BROADCAST_ROWS else edge, ["source_no", "block"])
-        tied = tied.groupBy("source_no", "block", "h").agg(F.sum("size").alias("size"), F.first("need").alias("need"))
-        run = F.sum("size").over(Window.partitionBy("source_no", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-        cuts = tied.withColumn("run", run).where(F.col("run") * 2 - F.col("size") < F.col("need") * 2).groupBy("source_no", "block").agg(F.max("h").alias("cut"))
-        plan = ranked.join(cuts, ["source_no", "block"], "left").withColumn("draws", F.col("passes") + (F.col("whole") | F.col("cut").isNotNull()).cast("int"))
+        left = rows.select("source_no", "block", "h", "size").join(F.broadcast(edge) if edge.count() <= BROADCAST_ROWS else edge, ["source_no", "block"])
+        plan, block = ranked, ["source_no", "block"]
+        run = F.sum("size").over(Window.partitionBy(*block).orderBy("h").rangeBetween(Window.unboundedPreceding, 0))
+        for k in range(ROUNDS):  # documents in hash order up to the first that would not fit; then those that still fit; and so on
+            left = materialize(left, "mix-edge")
+            fits = left.where("size <= need").withColumn("run", run).where("run <= need")
+            cut = fits.groupBy(*block).agg(F.max("h").alias(f"cut{k}"), F.max("run").alias("got"), F.first("need").alias(f"need{k}"))
+            plan = plan.join(cut.drop("got"), block, "left")
+            left = left.join(cut, block, "left").where(~F.coalesce((F.col("size") <= F.col("need")) & (F.col("h") <= F.col(f"cut{k}")), F.lit(False)))
+            left = left.select(*block, "h", "size", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"))
+        plan = plan.withColumn("draws", F.col("passes") + (F.col("whole") | F.coalesce(*[F.col(f"cut{k}") for k in range(ROUNDS)]).isNotNull()).cast("int"))
         each = plan.where("draws > 0").select("source_no", "block", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("pass"))
         split = split_tree(each, ["source_no", "block", "pass"], self.shards, self.seed)
         homes = split.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).getField("shard").alias("homes"))
-        return plan.join(homes, ["source_no", "block"], "left").select("source_no", "block", "passes", "whole", "cut", F.coalesce("homes", F.array().cast("array<int>")).alias("homes"))
+        return plan.join(homes, ["source_no", "block"], "left").select("source_no", "block", "passes", "whole", *[f"{c}{k}" for c in ("cut", "need") for k in range(ROUNDS)], F.coalesce("homes", F.array().cast("array<int>")).alias("homes"))
 
     def quotas(self) -> DataFrame:
         """The tree's leaves: shard, source_no, blocks."""
@@ -119,7 +127,10 @@ class Mix:
 
     def _decided(self, rows: DataFrame) -> DataFrame:
         plan = F.broadcast(self.blocks) if self.n_blocks <= BROADCAST_ROWS else self.blocks
-        copies = F.col("passes") + (F.col("whole") | F.coalesce(F.col("h") <= F.col("cut"), F.lit(False))).cast("int")
+        extra = F.col("whole")
+        for k in range(ROUNDS):
+            extra = extra | F.coalesce((F.col("size") <= F.col(f"need{k}")) & (F.col("h") <= F.col(f"cut{k}")), F.lit(False))
+        copies = F.col("passes") + extra.cast("int")
         return self._in_blocks(rows).drop("passes").join(plan, ["source_no", "block"]).withColumn("copies", copies).withColumn("homes", F.slice("homes", F.lit(1), F.col("copies")))
 
     def taken(self) -> DataFrame:
@@ -128,7 +139,7 @@ class Mix:
 
     def rows_of(self) -> DataFrame:
         """The mix itself: each document as often as it is taken, dealt to its shards and shuffled within them; docs' columns."""
-        rows = self.docs.select(whole_row(self.docs), self._source.alias("source"), self._hash.alias("h"))
+        rows = self.docs.select(whole_row(self.docs), self._source.alias("source"), self._size.alias("size"), self._hash.alias("h"))
         dealt = self._decided(rows).select("row", "h", F.posexplode("homes").alias("copy", "shard"))
         key = F.xxhash64(F.lit(self.seed + 202), "h", "copy")
         return unpack(dealt.withColumn("key", key).repartitionByRange("shard", "key").sortWithinPartitions("shard", "key"), self.docs.columns)
