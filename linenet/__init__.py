@@ -1,0 +1,8 @@
+"""Line-network analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this library travel to executors by value: nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
