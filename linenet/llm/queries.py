@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linenet.llm import exact_dedup, mixing, sharding
+from linenet.llm import exact_dedup, html_text, jpeg, mixing, sharding, toxicity, warc
 from linenet.llm.common import documents
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(pages(spark, sf_dir))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(documents(spark, sf_dir)).taken()
 
@@ -16,11 +32,27 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=24)
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.features(jpeg.store(documents(spark, sf_dir)))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(pages(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op7_sharding": op7_sharding, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op1_warc": op1_warc,
+    "op2_toxicity": op2_toxicity,
+    "op4_mixing": op4_mixing,
+    "op7_sharding": op7_sharding,
+    "op8_media": op8_media,
+    "op9_html": op9_html,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 ORACLES = {
     "op10_exact_dedup": r"""
