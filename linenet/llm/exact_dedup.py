@@ -1,9 +1,9 @@
 """Exact dedup by content sort.
 
 Normalised texts (white space deleted) are range-partitioned by splitters that Spark samples from them, sorted
-externally so that equals are adjacent, and compared in full with their neighbours. The partition key is
-(text, salt), the salt a hash of the identifier, so a text that a third of all rows share is spread over
-`SALTS` runs; each run yields its best row, and runs of one text meet again by the digest, already aggregated.
+externally so that equals are adjacent, and compared in full with their neighbours. The splitters are the texts' first
+`HEAD` characters and a hash of the whole, so that what is sampled stays small however long texts are. The last part
+of the key is a salt, a hash of the identifier, so a text that a third of all rows share is spread over `SALTS` runs; each run yields its best row, and runs of one text meet again by the digest, already aggregated.
 
 Cases: a null text counts as empty, and all empty (or blank) texts are equal; a null doc_id loses every tie; of
 fully repeated rows one is kept; an empty table gives an empty table; other columns are carried, never read.
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from linenet.llm.common import SPACES, materialize, quoted, unpack, whole_row
 
 SALTS = 64
+HEAD = 32
 
 
 def _runs(docs: DataFrame, text: str, ident: str, carry: bool) -> DataFrame:
@@ -29,9 +30,10 @@ def _runs(docs: DataFrame, text: str, ident: str, carry: bool) -> DataFrame:
         F.length(whole).alias("n_points"),
         F.pmod(F.xxhash64(quoted(ident)), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    placed = rows.repartitionByRange("norm", "salt")
-    best_first = Window.partitionBy("norm", "salt").orderBy(F.col("n_points").desc(), F.col("doc_id").asc_nulls_last())
-    return placed.withColumn("place", F.row_number().over(best_first)).withColumn("text_sha256", F.sha2(F.col("norm"), 256)).drop("norm", "salt")
+    rows = rows.withColumn("head", F.substring("norm", 1, HEAD)).withColumn("mark", F.xxhash64("norm"))
+    placed = rows.repartitionByRange("head", "mark", "salt")
+    best_first = Window.partitionBy("head", "mark", "salt", "norm").orderBy(F.col("n_points").desc(), F.col("doc_id").asc_nulls_last())
+    return placed.withColumn("place", F.row_number().over(best_first)).withColumn("text_sha256", F.sha2(F.col("norm"), 256)).drop("norm", "salt", "head", "mark")
 
 
 def _groups(runs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linenet.llm import exact_dedup, html_text, jpeg, mixing, sharding, toxicity, warc
+from linenet.llm import exact_dedup, html_text, jpeg, mixing, pieces, sharding, toxicity, warc
 from linenet.llm.common import documents
 
 
@@ -28,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(documents(spark, sf_dir)).taken()
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), with_ids=False)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir), shards=24)
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_toxicity": op2_toxicity,
     "op4_mixing": op4_mixing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_sharding": op7_sharding,
     "op8_media": op8_media,
     "op9_html": op9_html,
