@@ -7,8 +7,8 @@ tokens (as many as a link cannot do without) stands in the group's row of tokens
 tokens could hold enough of its own; then it is compared with the members. Classes already joined need no comparison,
 so a huge cluster of near copies costs one pass, not all pairs. Links are decided exactly; components follow.
 
-The order of rarity comes from counts of frequent tokens, gathered over all documents; it is advisory (any order that
-all documents share gives the same links), so its table is bounded by `FREQUENT` rows.
+The order of rarity comes from counts of frequent tokens and of words, gathered over all documents; it is advisory (any
+order that all documents share gives the same links), so its tables are bounded by `FREQUENT` and `WORDS_KNOWN` rows.
 
 Cases: words are as the contract has them; with fewer words than a shingle the whole sequence is one shingle; a null,
 empty or blank text has the empty set, no links, and its own doc_id as component; a null doc_id is never the smallest;
@@ -35,14 +35,16 @@ GROUP_TOKENS = 1_000_000
 PIVOTS = 3
 FREQUENT = 1 << 17
 SEEN = 4
+WORDS_KNOWN = 1 << 16
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[bytes], rarity=None, words_seen: list | None = None) -> list:
+    """The sorted distinct shingle hashes of each text. rarity (word hashes and their logarithmic counts): with each
+    set how common its shingles should be, as the sum over their words. words_seen gets all word hashes."""
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     data = LOWER[np.frombuffer(b"".join(t + b" " for t in texts), np.uint8)] if texts else np.zeros(0, np.uint8)
     if not len(data):
@@ -53,25 +55,33 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     words = mix(Hashes(data).of(begin, end) + (end - begin).astype(np.uint64))
     owner = np.searchsorted(np.cumsum(sizes), begin, side="right")
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    if words_seen is not None:
+        words_seen.append(words)
+    common = np.zeros(len(words))
+    if rarity is not None and len(rarity[0]):
+        at = np.minimum(np.searchsorted(rarity[0], words), len(rarity[0]) - 1)
+        common = np.where(rarity[0][at] == words, rarity[1][at], 0.0)
     n = max(0, len(words) - WORDS_EACH + 1)
     grams = np.full(n, U(WORDS_EACH))
     for j in range(WORDS_EACH):
         grams = mix(grams * U(0x9E3779B97F4A7C15) + words[j : j + n])
+    expected = sum((common[j : j + n] for j in range(WORDS_EACH)), np.zeros(n))
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= WORDS_EACH:
-            out.append(np.unique(grams[a : b - WORDS_EACH + 1]))
+            tokens, at = np.unique(grams[a : b - WORDS_EACH + 1], return_index=True)
+            out.append(tokens if rarity is None else (tokens, expected[a + at]))
         elif b > a:
             whole = U(b - a)
             for w in words[a:b]:
                 whole = mix(np.array([whole * U(0x9E3779B97F4A7C15) + w]))[0]
-            out.append(np.array([whole], np.uint64))
+            out.append(np.array([whole], np.uint64) if rarity is None else (np.array([whole], np.uint64), np.zeros(1)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(np.zeros(0, np.uint64) if rarity is None else (np.zeros(0, np.uint64), np.zeros(0)))
     return out
 
 
-def sets_of(texts: list[str]):
+def sets_of(texts: list[str], rarity=None, words_seen: list | None = None):
     """Yields (first text number, sets) for groups of texts of bounded size."""
     begin = 0
     while begin < len(texts):
@@ -82,7 +92,7 @@ def sets_of(texts: list[str]):
             size += len(part[-1])
             end += 1
         with np.errstate(over="ignore"):
-            yield begin, shingle_sets(part)
+            yield begin, shingle_sets(part, rarity, words_seen)
         begin = end
 
 
@@ -157,31 +167,39 @@ def link_inside(sets: list[np.ndarray], first: list[int]) -> list[int]:
     return [root(i) for i in range(len(sets))]
 
 
-PROFILE = "doc_id long, tid long, n long, class long, keys array<long>, frequent array<struct<token:long,seen:int>>"
+COUNTS = "array<struct<token:long,seen:long>>"
+PROFILE = f"doc_id long, tid long, n long, class long, keys array<long>, frequent {COUNTS}, words {COUNTS}"
+
+
+def most_seen(values: np.ndarray, least: int, most: int) -> list[dict]:
+    """The most frequent values with their counts."""
+    found, seen = np.unique(values, return_counts=True)
+    often = np.flatnonzero(seen >= least)
+    often = often[np.argsort(-seen[often], kind="stable")[:most]]
+    return [{"token": t, "seen": c} for t, c in zip(found[often].view(np.int64).tolist(), seen[often].tolist(), strict=True)]
 
 
 def _profiles(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, tid, text. Size, class and group keys of each; on a batch's first row, the batch's frequent tokens."""
+    """rows: doc_id, tid, text. Size, class and group keys of each; on a batch's first row, the batch's frequent tokens and words."""
 
     def run(batches):
         import pyarrow as pa
 
-        kinds = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("frequent", pa.list_(pa.struct([("token", pa.int64()), ("seen", pa.int32())])))])
+        counts = pa.list_(pa.struct([("token", pa.int64()), ("seen", pa.int64())]))
+        kinds = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("frequent", counts), ("words", counts)])
         for batch in batches:
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out, kept, known = [], [], {}
-            for begin, sets in sets_of(batch.column(2).to_pylist()):
+            out, kept, known, words = [], [], {}, []
+            for begin, sets in sets_of(batch.column(2).to_pylist(), None, words):
                 for i, s in enumerate(sets, begin):
                     name = class_of(s)
                     if name not in known:
                         known[name] = group_keys(s) if len(s) else []
                         kept.append(s)
-                    out.append({"doc_id": ids[i], "tid": tids[i], "n": len(s), "class": name, "keys": known[name], "frequent": None})
+                    out.append({"doc_id": ids[i], "tid": tids[i], "n": len(s), "class": name, "keys": known[name], "frequent": None, "words": None})
             if kept:
-                tokens, seen = np.unique(np.concatenate(kept), return_counts=True)
-                often = np.flatnonzero(seen >= SEEN)
-                often = often[np.argsort(-seen[often], kind="stable")[: FREQUENT // 8]]
-                out[0]["frequent"] = [{"token": t, "seen": c} for t, c in zip(tokens[often].view(np.int64).tolist(), seen[often].tolist(), strict=True)]
+                out[0]["frequent"] = most_seen(np.concatenate(kept), SEEN, FREQUENT // 8)
+                out[0]["words"] = most_seen(np.concatenate(words), 2, WORDS_KNOWN // 4)
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     return rows.mapInArrow(run, PROFILE)
@@ -248,24 +266,26 @@ def _solve_inside(members: DataFrame) -> DataFrame:
     return members.select("class", "grp", "own", "pivot", "tokens").repartition("grp").sortWithinPartitions("grp", "class").mapInArrow(run, "class long, label long, own boolean")
 
 
-def _postings(rows: DataFrame, frequent) -> DataFrame:
+def _postings(rows: DataFrame, order) -> DataFrame:
     """token, class: of each set as many of the rarest tokens as a link cannot do without."""
 
     def run(batches):
         import pyarrow as pa
 
-        common, rank = frequent.value
+        common, rank, words, counts = order.value
         for batch in batches:
             seen = set()
-            for _, sets in sets_of(batch.column(0).to_pylist()):
+            for _, sets in sets_of(batch.column(0).to_pylist(), (words, counts)):
                 tokens, names = [np.zeros(0, np.uint64)], []
-                for s in sets:
+                for s, expected in sets:
                     if not len(s) or (name := class_of(s)) in seen:
                         continue
                     seen.add(name)
                     at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
                     often = common[at] == s if len(common) else np.zeros(len(s), bool)
-                    ordered = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]]) if often.any() else s
+                    weight = np.zeros(len(s), np.int64)
+                    weight[often] = rank[at[often]]
+                    ordered = s[np.lexsort((s, expected, weight))]
                     part = ordered[: len(s) - needed(len(s)) + 1]
                     tokens.append(part)
                     names += [name] * len(part)
@@ -302,6 +322,13 @@ def _solve_between(members: DataFrame) -> DataFrame:
     return members.select("grp", "asks", "class", "tokens").repartition("grp").sortWithinPartitions("grp", "asks", "class").mapInArrow(run, "a long, b long")
 
 
+def _most(profiles: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the values most seen over all documents."""
+    seen = profiles.where(F.col(column).isNotNull()).select(F.explode(column).alias("f")).groupBy("f.token").agg(F.sum("f.seen").alias("seen"))
+    found = sorted((r.token & (2**64 - 1), r.seen) for r in seen.orderBy(F.col("seen").desc(), "token").limit(most).collect())
+    return np.array([t for t, _ in found], np.uint64), np.array([s for _, s in found], np.int64)
+
+
 def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFrame]:
     """Profiles of all rows (doc_id, tid, n, class), and root by class for classes that link to others."""
     spark = docs.sparkSession
@@ -316,18 +343,18 @@ def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFra
     sets = materialize(_fetch(rows, groups.where("own").select("class").join(reps, "class")), "jaccard-sets")
     inside = materialize(_solve_inside(groups.join(sets, "class")), "jaccard-inside")
     homes = groups.where("own").select("class", "grp").join(inside.where("own").select("class", "label"), "class")
-    homes = materialize(classes.select("class").join(homes, "class", "left").select("class", F.coalesce("grp", "class").alias("grp"), F.coalesce("label", "class").alias("label"), F.col("grp").isNull().alias("alone")), "jaccard-homes")
+    group = Window.partitionBy(F.coalesce("grp", "class"))
+    homes = materialize(classes.select("class", "n").join(homes, "class", "left").select("class", F.coalesce("grp", "class").alias("grp"), F.coalesce("label", "class").alias("label"), "n", F.min("n").over(group).alias("least"), F.max("n").over(group).alias("most")), "jaccard-homes")
 
-    often = profiles.where("frequent IS NOT NULL").select(F.explode("frequent").alias("f")).groupBy("f.token").agg(F.sum("f.seen").alias("seen"))
-    often = sorted((r.token & (2**64 - 1), r.seen) for r in often.orderBy(F.col("seen").desc(), "token").limit(FREQUENT).collect())
-    shared = spark.sparkContext.broadcast((np.array([t for t, _ in often], np.uint64), np.array([s for _, s in often], np.int64)))  # FREQUENT rows at most
+    often, words = _most(profiles, "frequent", FREQUENT), _most(profiles, "words", WORDS_KNOWN)
+    shared = spark.sparkContext.broadcast((*often, words[0], np.log1p(words[1])))  # FREQUENT + WORDS_KNOWN rows at most
     token = Window.partitionBy("token")
     found = _postings(rows, shared).withColumn("before", F.lag("class").over(token.orderBy("class"))).withColumn("several", F.min("class").over(token) != F.max("class").over(token))
     found = materialize(found.where("several AND (before IS NULL OR before <> class)").select("token", "class"), "jaccard-postings")
     found = found.join(homes, "class").withColumn("apart", F.min("label").over(token) != F.max("label").over(token))
-    found = materialize(found.where("apart").select("token", "class", "grp", "label"), "jaccard-apart")
-    rows_of = found.select("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label")).distinct()
-    asked = found.join(rows_of, "token").where("label < o_label AND grp <> o_grp").select("class", F.col("o_grp").alias("grp")).distinct()
+    found = materialize(found.where("apart").select("token", "class", "grp", "label", "n", "least", "most"), "jaccard-apart")
+    rows_of = found.select("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label"), F.col("least").alias("o_least"), F.col("most").alias("o_most")).distinct()
+    asked = found.join(rows_of, "token").where(f"label < o_label AND grp <> o_grp AND {DENOMINATOR} * o_most >= {NUMERATOR} * n AND {NUMERATOR} * o_least <= {DENOMINATOR} * n").select("class", F.col("o_grp").alias("grp")).distinct()
     asked = materialize(asked, "jaccard-asked")
     opened = asked.select("grp").distinct()
     members = homes.join(opened, "grp", "left_semi").select("class", "grp")
