@@ -43,6 +43,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df, once nothing still reads it."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for file in df.inputFiles()[:1]:
+        path = jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     gc.collect()
     spark.sparkContext._jvm.System.gc()

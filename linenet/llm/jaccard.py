@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linenet.llm.common import materialize, quoted, unpack, whole_row
+from linenet.llm.common import discard, materialize, quoted, unpack, whole_row
 from linenet.llm.components import components
 from linenet.llm.suffix import GROUP_BYTES, Hashes, U, mix
 
@@ -36,6 +36,7 @@ PIVOTS = 3
 FREQUENT = 1 << 17
 SEEN = 4
 WORDS_KNOWN = 1 << 16
+BITMAP_BITS = 22
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -205,6 +206,26 @@ def _profiles(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, PROFILE)
 
 
+def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose tid may be among w_tid: those not in a bitmap (of a fixed size, whatever the input) needn't be shuffled."""
+    place = F.shiftrightunsigned("w_tid", 64 - BITMAP_BITS)
+    words = wanted.select((F.shiftright(place, 6)).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(w_tid, {64 - BITMAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
+    for r in words.toLocalIterator():  # as many rows as the bitmap has words, at most
+        bitmap[r.word] = r.bits
+    shared = rows.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        bits = shared.value
+        for batch in batches:
+            tids = np.asarray(batch.column("tid")).view(np.uint64) >> U(64 - BITMAP_BITS)
+            yield batch.filter(pa.array(bits[tids.astype(np.int64)] > 0))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """class, tokens (little-endian bytes) of each class in wanted (class, doc_id, tid), from the text of its representative."""
 
@@ -216,8 +237,8 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for begin, sets in sets_of(batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(names[begin : begin + len(sets)], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "tokens"])
 
-    wanted = wanted.select("class", F.col("doc_id").alias("w_id"), F.col("tid").alias("w_tid"))
-    found = rows.join(wanted, (F.col("tid") == F.col("w_tid")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+    wanted = materialize(wanted.select("class", F.col("doc_id").alias("w_id"), F.col("tid").alias("w_tid")), "jaccard-wanted")
+    found = _perhaps(rows, wanted).join(wanted, (F.col("tid") == F.col("w_tid")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
     return found.select("class", "text").mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"])
 
 
@@ -346,24 +367,28 @@ def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFra
     group = Window.partitionBy(F.coalesce("grp", "class"))
     homes = materialize(classes.select("class", "n").join(homes, "class", "left").select("class", F.coalesce("grp", "class").alias("grp"), F.coalesce("label", "class").alias("label"), "n", F.min("n").over(group).alias("least"), F.max("n").over(group).alias("most")), "jaccard-homes")
 
+    discard(sets)
     often, words = _most(profiles, "frequent", FREQUENT), _most(profiles, "words", WORDS_KNOWN)
     shared = spark.sparkContext.broadcast((*often, words[0], np.log1p(words[1])))  # FREQUENT + WORDS_KNOWN rows at most
     token = Window.partitionBy("token")
     found = _postings(rows, shared).withColumn("before", F.lag("class").over(token.orderBy("class"))).withColumn("several", F.min("class").over(token) != F.max("class").over(token))
-    found = materialize(found.where("several AND (before IS NULL OR before <> class)").select("token", "class"), "jaccard-postings")
-    found = found.join(homes, "class").withColumn("apart", F.min("label").over(token) != F.max("label").over(token))
-    found = materialize(found.where("apart").select("token", "class", "grp", "label", "n", "least", "most"), "jaccard-apart")
-    rows_of = found.select("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label"), F.col("least").alias("o_least"), F.col("most").alias("o_most")).distinct()
-    asked = found.join(rows_of, "token").where(f"label < o_label AND grp <> o_grp AND {DENOMINATOR} * o_most >= {NUMERATOR} * n AND {NUMERATOR} * o_least <= {DENOMINATOR} * n").select("class", F.col("o_grp").alias("grp")).distinct()
+    postings = materialize(found.where("several AND (before IS NULL OR before <> class)").select("token", "class"), "jaccard-postings")
+    found = postings.join(homes, "class").withColumn("apart", F.min("label").over(token) != F.max("label").over(token))
+    apart = materialize(found.where("apart").select("token", "class", "grp", "label", "n", "least", "most"), "jaccard-apart")
+    rows_of = apart.select("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label"), F.col("least").alias("o_least"), F.col("most").alias("o_most")).distinct()
+    asked = apart.join(rows_of, "token").where(f"label < o_label AND grp <> o_grp AND {DENOMINATOR} * o_most >= {NUMERATOR} * n AND {NUMERATOR} * o_least <= {DENOMINATOR} * n").select("class", F.col("o_grp").alias("grp")).distinct()
     asked = materialize(asked, "jaccard-asked")
+    discard(postings)
+    discard(apart)
     opened = asked.select("grp").distinct()
     members = homes.join(opened, "grp", "left_semi").select("class", "grp")
     involved = members.select("class").unionByName(asked.select("class")).distinct()
     have = materialize(_fetch(rows, involved.join(reps, "class")), "jaccard-opened")
     both = members.withColumn("asks", F.lit(False)).unionByName(asked.select("class", "grp").withColumn("asks", F.lit(True)))
     between = _solve_between(both.join(have, "class"))
-    links = inside.select(F.col("class").alias("a"), F.col("label").alias("b")).unionByName(between)
-    return profiles.select("doc_id", "tid", "n", "class"), components(materialize(links, "jaccard-links"))
+    links = materialize(inside.select(F.col("class").alias("a"), F.col("label").alias("b")).unionByName(between), "jaccard-links")
+    discard(have)
+    return profiles.select("doc_id", "tid", "n", "class"), components(links)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:

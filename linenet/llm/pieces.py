@@ -44,6 +44,7 @@ class Vocabulary:
         """pieces: text (a blank as U+2581), id, log weight."""
         self.longest, self.bytes_from, self.byte_weight = longest, bytes_from, byte_weight
         self.texts = {i: t for t, i, _ in pieces}
+        self._strings: list[str] | None = None
         edges: dict[int, int] = {}
         ids, weights = [-1], [-np.inf]
         for text, number, weight in pieces:
@@ -77,21 +78,31 @@ class Vocabulary:
         """The child of each node by its character, or -1."""
         keys = (nodes.astype(np.int64) << 21) | chars
         slot = self._slot(keys)
-        out = np.full(len(keys), -1, np.int32)
-        for table, to in self._slots:
-            hit = table[slot] == keys
-            out[hit] = to[slot[hit]]
+        table, to = self._slots[0]
+        found = table[slot]
+        out = np.where(found == keys, to[slot], -1)
+        left = np.flatnonzero((found != keys) & (found >= 0))  # the slot is another's: along its chain
+        for table, to in self._slots[1:]:
+            found = table[slot[left]]
+            hit = found == keys[left]
+            out[left[hit]] = to[slot[left[hit]]]
+            left = left[~hit & (found >= 0)]
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The text whose segmentation this is."""
-        out = bytearray()
-        for i in ids:
-            if self.bytes_from <= i < self.bytes_from + 256:
-                out.append(i - self.bytes_from)
-            else:
-                out += self.texts[i].replace(chr(BLANK), " ").encode()
-        return out.decode("utf-8", "replace")[1:]
+        """The text whose segmentation this is. Byte pieces from 0x80 on pass as lone surrogates until the bytes are whole."""
+        if self._strings is None:
+            self._strings = [""] * (max(max(self.texts, default=0), self.bytes_from + 255) + 1)
+            for i, t in self.texts.items():
+                self._strings[i] = t.replace(chr(BLANK), " ")
+            for b in range(256):
+                self._strings[self.bytes_from + b] = chr(b) if b < 0x80 else chr(0xDC00 + b)
+        text = "".join(map(self._strings.__getitem__, ids))[1:]
+        try:
+            text.encode()
+        except UnicodeEncodeError:
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return text
 
 
 @lru_cache(2)
@@ -148,25 +159,36 @@ class Lattice:
             found = vocabulary.ids[nodes] >= 0
             self.ids[at[found], length] = vocabulary.ids[nodes[found]]
             weights[at[found], length] = vocabulary.weights[nodes[found]]
+        used = np.flatnonzero((self.ids >= 0).any(axis=0))
+        most = int(used[-1]) + 1 if len(used) else 1  # lengths that no piece of these units has need no room
+        weights, self.ids = np.ascontiguousarray(weights[:, :most]), np.ascontiguousarray(self.ids[:, :most])
         bare = np.flatnonzero(self.ids[:, 0] < 0)
         c = codes[bare]
         self.ids[bare, 0] = FALLBACK + c
         weights[bare, 0] = vocabulary.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         mass = np.zeros(n + most + 1)  # log of the sum over segmentations of the rest of the unit
-        order = np.argsort(room, kind="stable")
-        edges = np.searchsorted(room[order], np.arange(1, int(room.max(initial=0)) + 2))
-        for d in range(1, len(edges)):
-            rows = order[edges[d - 1] : edges[d]]
-            width = min(d, most)
-            beyond = np.where(np.arange(1, width + 1) == d, 0.0, mass[rows[:, None] + np.arange(1, width + 1)])
-            total = weights[rows, :width] + beyond
-            top = total.max(axis=1)
-            part = np.exp(total - top[:, None])
-            sums = part.cumsum(axis=1)
-            mass[rows] = top + np.log(sums[:, -1])
-            weights[rows, :width] = sums / sums[:, -1:]
-            weights[rows, width:] = 1.0
-        self.chance = weights
+        longest = np.minimum(most - np.argmax(self.ids[:, ::-1] >= 0, axis=1), room)
+        widths = np.array(sorted({min(w, most) for w in (3, 5, 8, most)}))
+        by = room * len(widths) + np.searchsorted(widths, longest)  # from the units' ends, rows with short pieces only apart
+        order = np.argsort(by, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(by[order], prepend=-1)), n)
+        self.chance = np.ones((n, most))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            rows = order[lo:hi]
+            d, w = divmod(int(by[rows[0]]), len(widths))
+            width = min(d, int(widths[w]))
+            sums = mass[rows[:, None] + np.arange(1, width + 1)]
+            if width == d:
+                sums[:, -1] = 0.0  # the unit's end
+            sums += weights[rows, :width]
+            top = sums.max(axis=1)
+            sums -= top[:, None]
+            sums = np.exp(sums, out=sums).cumsum(axis=1)
+            last = sums[:, -1]
+            mass[rows] = top + np.log(last)
+            sums /= last[:, None]
+            sums[:, -1] = 1.0
+            self.chance[rows, :width] = sums
         self.choices = (self.ids >= 0).sum(axis=1)
 
     def chances(self, rows: np.ndarray) -> np.ndarray:
@@ -178,8 +200,7 @@ class Lattice:
         while len(live):
             rows = at[live]
             c = self.chance[rows]
-            pick = (c < uniform(seeds[live] + np.uint64(len(found)) * GOLD)[:, None]).sum(axis=1)
-            pick = np.minimum(pick, c.shape[1] - 1)
+            pick = np.argmax(c >= uniform(seeds[live] + np.uint64(len(found)) * GOLD)[:, None], axis=1)
             here = np.arange(len(live))
             found.append((live, rows, pick + 1, c[here, pick] - np.where(pick > 0, c[here, pick - 1], 0.0)))
             at[live] += pick + 1
@@ -307,13 +328,21 @@ def ids_of(vocabulary: Vocabulary, lattice: Lattice, path) -> np.ndarray:
     return np.concatenate([*out, ids[before:]]).astype(np.int32)
 
 
+class Numbers(dict):
+    """Numbers keys as they come."""
+
+    def __missing__(self, key):
+        self[key] = number = len(self)
+        return number
+
+
 def segment(vocabulary: Vocabulary, texts: list[str | None], seeds: list[int], k: int = SAMPLES) -> list[list[dict]]:
     """For each text its draws: ids, log_prob, perturbed, inclusion."""
-    numbers: dict[str, int] = {}
+    numbers = Numbers()
     rows = []
     for text, seed in zip(texts, seeds, strict=True):
         found = UNITS.findall(" " + text) if text else []
-        rows.append(Row(np.array([numbers.setdefault(u, len(numbers)) for u in found], np.int64), np.uint64(seed & (2**64 - 1))))
+        rows.append(Row(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)), np.uint64(seed & (2**64 - 1))))
     with np.errstate(over="ignore"):
         lattice = Lattice(vocabulary, list(numbers))
         sample(lattice, rows, k)

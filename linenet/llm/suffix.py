@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linenet.llm.common import materialize, quoted
+from linenet.llm.common import discard, materialize, quoted
 
 LENGTH, GRAM = 200, 128
 SIDE = LENGTH - GRAM
@@ -345,7 +345,10 @@ def remove(docs: DataFrame, text: str = "text", ident: str = "doc_id", with_text
     if not around.where(F.col("crowd") > CROWD).isEmpty():
         spans = spans.unionByName(_counted_spans(around))
     plain = hits.where("twice").select("tid", "n", F.greatest(F.col("pos") - SIDE, F.lit(0)).alias("begin"), F.least(F.col("pos") + LENGTH, F.col("n")).alias("end"))
-    spans = materialize(spans.unionByName(plain), "suffix-spans").join(copied, ["tid", "n"], "left_anti")
+    spans = materialize(spans.unionByName(plain), "suffix-spans")
+    discard(hits)
+    discard(around)
+    spans = spans.join(copied, ["tid", "n"], "left_anti")
     by_text = spans.groupBy("tid", "n").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     every = copied.select("tid", "n", F.lit(None).cast("array<struct<begin:int,end:int>>").alias("spans"), F.lit(True).alias("all"))
     cuts = materialize(by_text.withColumn("all", F.lit(False)).unionByName(every), "suffix-cuts")
