@@ -35,6 +35,7 @@ GROUP_TOKENS = 1_000_000
 PIVOTS = 3
 FREQUENT = 1 << 17
 SEEN = 4
+BATCH = 2000
 WORDS_KNOWN = 1 << 16
 BITMAP_BITS = 22
 SPACE = np.zeros(256, bool)
@@ -188,7 +189,7 @@ def _profiles(rows: DataFrame) -> DataFrame:
 
         counts = pa.list_(pa.struct([("token", pa.int64()), ("seen", pa.int64())]))
         kinds = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("frequent", counts), ("words", counts)])
-        for batch in batches:
+        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out, kept, known, words = [], [], {}, []
             for begin, sets in sets_of(batch.column(2).to_pylist(), None, words):

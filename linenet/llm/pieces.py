@@ -31,7 +31,7 @@ from linenet.llm.common import quoted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, SAMPLES = 11, 2
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 2 << 20
 UNITS = re.compile(r" *[^ \n]+| +|\n")
 BLANK, FALLBACK = 0x2581, 1 << 21
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -144,30 +144,39 @@ class Lattice:
         literal = codes == BLANK
         codes = np.where(codes == 0x20, BLANK, codes)
         room = np.repeat(self.ends, sizes) - np.arange(n)
-        weights = np.full((n, most), -np.inf)
-        self.ids = np.full((n, most), -1, np.int32)
-        nodes, at = np.zeros(n, np.int32), np.arange(n)
+        nodes, at, matches = np.zeros(n, np.int32), np.arange(n), []
+        if literal.any():  # U+2581 itself ends what may be matched
+            stop = np.minimum.accumulate(np.where(literal, np.arange(n), n)[::-1])[::-1]
+            room_for = np.minimum(room, stop - np.arange(n))
+            at = np.flatnonzero(room_for > 0)
+            nodes = nodes[at]
+        else:
+            room_for = room
+        self.choices, longest = np.zeros(n, np.int8), np.ones(n, np.int64)
         for length in range(most):
-            fits = room[at] > length
-            at, nodes = at[fits], nodes[fits]
-            fits = ~literal[at + length]
-            at, nodes = at[fits], nodes[fits]
             nodes = vocabulary.step(nodes, codes[at + length])
-            at, nodes = at[nodes >= 0], nodes[nodes >= 0]
-            if not len(at):
+            whole = vocabulary.ids[nodes]  # node -1: the last, never asked for
+            found = np.flatnonzero((nodes >= 0) & (whole >= 0))
+            rows = at[found]
+            matches.append((rows, whole[found], vocabulary.weights[nodes[found]]))
+            self.choices[rows] += 1
+            longest[rows] = length + 1
+            live = np.flatnonzero((nodes >= 0) & (room_for[at] > length + 1))
+            if not len(live):
                 break
-            found = vocabulary.ids[nodes] >= 0
-            self.ids[at[found], length] = vocabulary.ids[nodes[found]]
-            weights[at[found], length] = vocabulary.weights[nodes[found]]
-        used = np.flatnonzero((self.ids >= 0).any(axis=0))
-        most = int(used[-1]) + 1 if len(used) else 1  # lengths that no piece of these units has need no room
-        weights, self.ids = np.ascontiguousarray(weights[:, :most]), np.ascontiguousarray(self.ids[:, :most])
+            at, nodes = at[live], nodes[live]
+        most = int(longest.max(initial=1))  # lengths that no piece of these units has need no room
+        weights = np.full((n, most), -np.inf)
+        self.ids = np.full((n, most), -1, np.int32)
+        for length, (rows, ids, own) in enumerate(matches[:most]):
+            self.ids[rows, length] = ids
+            weights[rows, length] = own
         bare = np.flatnonzero(self.ids[:, 0] < 0)
+        self.choices[bare] += 1
         c = codes[bare]
         self.ids[bare, 0] = FALLBACK + c
         weights[bare, 0] = vocabulary.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
         mass = np.zeros(n + most + 1)  # log of the sum over segmentations of the rest of the unit
-        longest = np.minimum(most - np.argmax(self.ids[:, ::-1] >= 0, axis=1), room)
         widths = np.array(sorted({min(w, most) for w in (3, 5, 8, most)}))
         by = room * len(widths) + np.searchsorted(widths, longest)  # from the units' ends, rows with short pieces only apart
         order = np.argsort(by, kind="stable")
@@ -189,7 +198,6 @@ class Lattice:
             sums /= last[:, None]
             sums[:, -1] = 1.0
             self.chance[rows, :width] = sums
-        self.choices = (self.ids >= 0).sum(axis=1)
 
     def chances(self, rows: np.ndarray) -> np.ndarray:
         return np.diff(self.chance[rows], axis=-1, prepend=0.0)
@@ -207,7 +215,7 @@ class Lattice:
             live = live[at[live] < ends[live]]
         steps = np.zeros(len(at), np.int64)
         for f in found:
-            steps[f[0]] += 1
+            steps[f[0]] += 1  # each once
         first = np.cumsum(steps) - steps
         n = int(steps.sum())
         out = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
@@ -234,6 +242,28 @@ def truncated(location, bound, noise):
         return -np.logaddexp(-bound, np.log(noise) - location)
 
 
+def openings(upto: np.ndarray, chances: np.ndarray, several: np.ndarray, bound: float, row: Row, path: int, k: int) -> list[tuple[int, float]]:
+    """The k + 1 steps whose other pieces have the greatest perturbed log-probability, with it. upto: log-probability
+    before each step, which falls; noise is at most -log(2**-54), about 38, and its logarithm at least -37, so steps far
+    enough below the first ones cannot count and are not looked at."""
+    size = 64
+    while True:
+        at = np.flatnonzero(several[:size])
+        location = upto[at] + np.log(np.maximum(1 - chances[at], 1e-300))
+        if size >= len(upto):
+            break
+        if len(at) > k:
+            least = np.partition(location, len(at) - k - 1)[len(at) - k - 1] - 41
+            if upto[size] < least:
+                break
+        size *= 2
+    if not len(at):
+        return []
+    shift = np.log(row.noise(path, min(size, len(upto)), 1)[at]) - location
+    best = np.argpartition(shift, k)[: k + 1] if len(shift) > k + 1 else np.arange(len(shift))
+    return list(zip(at[best].tolist(), (-np.logaddexp(-bound, shift[best])).tolist(), strict=True))
+
+
 def sample(lattice: Lattice, rows: list[Row], k: int) -> None:
     """Fills each row's `done`: (log-probability, perturbed, path), best first, and leaves the next bound in its frontier."""
 
@@ -259,21 +289,15 @@ def sample(lattice: Lattice, rows: list[Row], k: int) -> None:
         u = 0
         for (row, bound, before, unit, _), span in zip(jobs, spans, strict=True):
             lo, hi = bounds[u], bounds[u + span]
-            place = np.concatenate([before[0], places[lo:hi]])
-            length = np.concatenate([before[1], lengths[lo:hi]])
-            log = np.concatenate([before[2], logs[lo:hi]])
+            place, length, log = places[lo:hi], lengths[lo:hi], logs[lo:hi]
+            if len(before[0]):
+                place, length, log = np.concatenate([before[0], place]), np.concatenate([before[1], length]), np.concatenate([before[2], log])
             upto = np.cumsum(log)
             path, n = len(row.paths), len(before[0])
             row.paths.append((place, length, log))
             row.done.append((float(upto[-1]) if len(upto) else 0.0, bound, path))
-            open_at = np.flatnonzero(several[lo:hi])
-            if len(open_at):
-                location = upto[n:][open_at] - log[n:][open_at] + np.log(np.maximum(1 - chances[lo:hi][open_at], 1e-300))
-                value = truncated(location, bound, row.noise(path, hi - lo, 1)[open_at])
-                best = np.argpartition(-value, k)[: k + 1] if len(value) > k + 1 else np.arange(len(value))
-                for b in best.tolist():
-                    t = n + int(open_at[b])
-                    heapq.heappush(row.frontier, (-float(value[b]), path, t, 1 << int(length[t] - 1)))
+            for t, value in openings(upto[n:] - log[n:], chances[lo:hi], several[lo:hi], bound, row, path, k):
+                heapq.heappush(row.frontier, (-value, path, n + t, 1 << int(length[n + t] - 1)))
             u += span
 
     empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
