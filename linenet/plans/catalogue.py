@@ -13,6 +13,9 @@ from linenet.operators import lines as L
 from linenet.operators import network as N
 from linenet.operators import quality as Q
 from linenet.operators import series as S
+from linenet.operators import shapes
+from linenet.sources import files, sinks
+from linenet.streaming import events
 from linenet.plans.tables import BX, CU, ED, SU, V, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -395,7 +398,7 @@ def _(t):
 
 # --- series ----------------------------------------------------------------------------------------------------------
 
-FOLD = """list_reduce(list_prepend({'t': 0::DOUBLE, 'a': NULL::DOUBLE, 'e': NULL::DOUBLE, 'z': NULL::DOUBLE}, list_transform(%s, lambda h: {'t': 0::DOUBLE, 'a': NULL::DOUBLE, 'e': NULL::DOUBLE, 'z': h})), lambda s, r:
+FOLD = """list_reduce(list_prepend({'t': 0::DOUBLE, 'a': NULL::DOUBLE, 'e': NULL::DOUBLE, 'z': NULL::DOUBLE}, list_transform(%s, lambda hh: {'t': 0::DOUBLE, 'a': NULL::DOUBLE, 'e': NULL::DOUBLE, 'z': hh})), lambda s, r:
   CASE WHEN r.z IS NULL THEN {'t': s.t + CASE WHEN s.e - s.a >= 5 THEN s.e - s.a ELSE 0 END, 'a': NULL, 'e': NULL, 'z': NULL}
        WHEN s.a IS NULL THEN {'t': s.t, 'a': r.z, 'e': r.z, 'z': NULL}
        WHEN s.e >= s.a AND r.z > s.e THEN {'t': s.t, 'a': s.a, 'e': r.z, 'z': NULL}
@@ -404,7 +407,7 @@ FOLD = """list_reduce(list_prepend({'t': 0::DOUBLE, 'a': NULL::DOUBLE, 'e': NULL
        WHEN s.e < s.a AND r.z - s.e >= 5 THEN {'t': s.t, 'a': s.e, 'e': r.z, 'z': NULL} ELSE {'t': s.t, 'a': s.a, 'e': s.e, 'z': NULL} END)"""
 
 
-@query("m04_profiles", f"WITH {SERIES}, h AS (SELECT user_id, list(z ORDER BY tm) AS z, max(z) AS high, min(z) AS low FROM e GROUP BY 1), f AS (SELECT *, {FOLD % 'z'} AS up, {FOLD % 'list_transform(z, lambda q: -q)'} AS down FROM h) SELECT user_id, round(CASE WHEN high IS NOT NULL THEN up.t + CASE WHEN up.e - up.a >= 5 THEN up.e - up.a ELSE 0 END END, 4) AS ascent, round(CASE WHEN high IS NOT NULL THEN down.t + CASE WHEN down.e - down.a >= 5 THEN down.e - down.a ELSE 0 END END, 4) AS descent, high, low FROM f")
+@query("m04_profiles", f"WITH {SERIES}, h AS (SELECT user_id, list(z ORDER BY tm) AS z, max(z) AS high, min(z) AS low FROM e GROUP BY 1), f AS (SELECT *, {FOLD % 'z'} AS up, {FOLD % 'list_transform(z, lambda qq: -qq)'} AS down FROM h) SELECT user_id, round(CASE WHEN high IS NOT NULL THEN up.t + CASE WHEN up.e - up.a >= 5 THEN up.e - up.a ELSE 0 END END, 4) AS ascent, round(CASE WHEN high IS NOT NULL THEN down.t + CASE WHEN down.e - down.a >= 5 THEN down.e - down.a ELSE 0 END END, 4) AS descent, high, low FROM f")
 def _(t):
     h = _series(t).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "z"))).alias("s"), F.max("z").alias("high"), F.min("z").alias("low"))
     z = F.transform("s", lambda p: p["z"])
@@ -467,3 +470,76 @@ def _(t):
 @query("a13_elevation_by_source", f"WITH {SERIES} SELECT user_id % 7 AS source, count(z) AS n, round(sum(z), 2) AS total, min(z) AS low, max(z) AS high FROM e GROUP BY 1")
 def _(t):
     return _series(t).groupBy((F.col("user_id") % 7).alias("source")).agg(F.count("z").alias("n"), F.round(F.sum("z"), 2).alias("total"), F.min("z").alias("low"), F.max("z").alias("high"))
+
+
+# --- sources, sinks, shapes, coverage, streams -----------------------------------------------------------------------
+
+
+@query("k04_osm_nodes", f"WITH {V}, p AS (SELECT line_id, rn, x AS lon, y AS lat, printf('%.7f %.7f', x, y) AS key FROM l), f AS (SELECT key, min(line_id * 100000 + rn) AS first, arg_min(lon, line_id * 100000 + rn) AS lon, arg_min(lat, line_id * 100000 + rn) AS lat FROM p GROUP BY key) SELECT key, row_number() OVER (ORDER BY first) AS node_id, lon, lat FROM f")
+def _(t):
+    return sinks.osm_nodes(t.lines())
+
+
+@query("k01_gpx_tracks", f"WITH {V} SELECT line_id, length('<trk><name>' || line_id || '</name><trkseg>' || string_agg(printf('<trkpt lat=\"%.7f\" lon=\"%.7f\"></trkpt>', y, x), '' ORDER BY rn) || '</trkseg></trk>') AS n FROM l GROUP BY line_id")
+def _(t):
+    return sinks.tracks_xml(t.lines(), "line_id").select(F.regexp_extract("value", "<name>(.*?)</name>", 1).cast("long").alias("line_id"), F.length("value").cast("long").alias("n"))
+
+
+@query("s23_gpx_round_trip", f"WITH {V} SELECT line_id, rn - 1 AS seq, round(x, 5) AS lon, round(y, 5) AS lat FROM l")
+def _(t):
+    documents = sinks.tracks_xml(t.lines(), "line_id").select(F.regexp_extract("value", "<name>(.*?)</name>", 1).cast("long").alias("line_id"), F.col("value").alias("text"))
+    return files.parse_gpx(documents, "line_id").select("line_id", F.col("seq").cast("long").alias("seq"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
+
+
+@query("s20_event_places", "SELECT event_type, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS kinds FROM events GROUP BY 1")
+def _(t):
+    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.get_json_object("props", "$.k")).alias("kinds"))
+
+
+@query("d01_waymarked", f"WITH {V}, {SU}, mk AS (SELECT x AS x1, y AS y1, x + 300 AS x2, y AS y2 FROM su), q AS (SELECT line_id, rn, max(CASE WHEN sqrt(power(x - greatest(x1, least(x2, x)), 2) + power(y - y1, 2)) <= 25 THEN 1 ELSE 0 END) AS hit FROM l, mk GROUP BY 1, 2), sh AS (SELECT line_id, avg(hit::DOUBLE) AS share FROM q GROUP BY 1) SELECT line_id, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN 'marked' ELSE 'unknown' END AS waymarked FROM sh")
+def _(t):
+    s = t.suppliers()
+    marks = s.select(F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 300).alias("x2"), F.col("y").alias("y2"))
+    samples = t.lines().select(F.col("line_id").alias("id"), F.posexplode("coords").alias("k", "p")).select("id", "k", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    share = L.share_within(samples, marks, 25.0)
+    return share.select(F.col("id").alias("line_id"), F.round("share", 6).alias("share"), F.when(F.col("share") >= 0.5, "marked").otherwise("unknown").alias("waymarked"))
+
+
+@query("j08_nearest_on_lines", f"WITH {CU}, {SU}, mk AS (SELECT rid AS line_id, x AS x1, y AS y1, x + 60 AS x2 FROM su), d AS (SELECT id, line_id, sqrt(power(cu.x - greatest(x1, least(x2, cu.x)), 2) + power(cu.y - y1, 2)) AS distance FROM cu, mk), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, line_id) AS r FROM d WHERE distance <= 25) SELECT id, line_id, round(distance, 6) AS distance FROM b WHERE r = 1")
+def _(t):
+    segs = t.suppliers().select(F.col("rid").alias("line_id"), F.lit(0).alias("seg"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 60).alias("x2"), F.col("y").alias("y2"))
+    return L.nearest_on_lines(t.customers(), segs, 25.0).select("id", "line_id", F.round("distance", 6).alias("distance"))
+
+
+@query("g14_canonical")
+def _(t):
+    return shapes.canonical(t.lines()).select("line_id", "digest")
+
+
+@query("g17_simplify")
+def _(t):
+    return shapes.simplify(t.lines(), 50.0).select("line_id", F.size("coords").alias("n_vertices"), F.round(G.length(F.col("coords")), 3).alias("metres"))
+
+
+@query("g09_cut_lines", f"WITH {V} SELECT line_id, round(sum(len), 3) AS metres FROM s GROUP BY 1")
+def _(t):
+    cuts = t.segments().select("line_id", (F.col("m0") + F.col("len") / 2).alias("m"))
+    return shapes.cut_lines(t.lines(), cuts).groupBy("line_id").agg(F.round(F.sum("metres"), 3).alias("metres"))
+
+
+@query("o01_thin_points")
+def _(t):
+    points = t.customers().select("id", "x", "y", F.col("c_nationkey").alias("grp"), (-F.col("c_acctbal")).alias("rank"))
+    return shapes.thin_points(points, 120.0, "grp", "rank")
+
+
+@query("t01_windowed_events", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _(t):
+    w = events.windowed(t.events)
+    return w.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+@query("g25_to_metres")
+def _(t):
+    p = G.utm(5 + F.col("x") / 100, 58 + F.col("y") / 100)
+    return t.customers().select("id", F.round(p["x"], 3).alias("east"), F.round(p["y"], 3).alias("north"))
