@@ -149,13 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
 
         for batch in batches:
             sets = [np.unique(np.fromiter((bucket(g) for g in grams_of(words_of(t))), np.int32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("role"), pa.array(sets, pa.binary())], names=["role", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("role"), batch.column("mark"), pa.array(sets, pa.binary())], names=["role", "mark", "grams"])
 
-    sets = [(r.role, np.frombuffer(r.grams, np.int32)) for r in rows.select("role", "text").mapInArrow(features, "role int, grams binary").toLocalIterator()]
-    if not any(role & 1 for role, _ in sets):
+    marked = rows.select("role", F.xxhash64("text").alias("mark"), "text").mapInArrow(features, "role int, mark long, grams binary")
+    sets = [(r.role, r.mark, r.grams) for r in marked.toLocalIterator()]
+    if not any(role & 1 for role, _, _ in sets):
         return Model()
-    p_sets = [np.frombuffer(b, np.int32) for b in sorted({s.tobytes() for role, s in sets if role & 1})]  # copies count once
-    u_sets = [np.frombuffer(b, np.int32) for b in sorted({s.tobytes() for role, s in sets if role & 2})]
+    p_sets, u_sets = ([np.frombuffer(b, np.int32) for _, b in sorted({mark: b for role, mark, b in sets if role & bit}.items())] for bit in (1, 2))  # copies of a text count once
     best, ratio = choose(p_sets, u_sets)
     column = np.full(1 << BITS, -1, np.int32)
     column[best] = np.arange(len(best))
