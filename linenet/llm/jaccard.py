@@ -4,7 +4,8 @@ A document's set holds hashes of its distinct `WORDS_EACH`-word shingles; equal
 Classes that probably resemble each other (their least hashes agree) are dealt to the same group, large groups being
 split. Inside a group all classes are compared. Between groups, a class opens another group only if one of its rarest
 tokens (as many as a link cannot do without) stands in the group's row of tokens and if the whole group's union of
-tokens could hold enough of its own; then it is compared with the members. Classes already joined need no comparison,
+tokens could hold enough of its own (and, before any set is sent, if parities of token classes allow a link with a
+member); then it is compared with the members. Classes already joined need no comparison,
 so a huge cluster of near copies costs one pass, not all pairs. Links are decided exactly; components follow.
 
 The order of rarity comes from counts of frequent tokens and of words, gathered over all documents; it is advisory (any
@@ -38,6 +39,7 @@ SEEN = 4
 BATCH = 2000
 WORDS_KNOWN = 1 << 16
 BITMAP_BITS = 22
+PARITIES = 2048
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -122,6 +124,12 @@ def group_keys(tokens: np.ndarray) -> list[int]:
     return keys
 
 
+def parities(tokens: np.ndarray) -> list[int]:
+    """For each of PARITIES classes of tokens whether the set has an odd number: sets differ in as many of these at most as they differ in tokens."""
+    odd = np.bincount((tokens >> U(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 class GroupRow:
     """The token-group matrix's row of one group: its union of tokens, and who has each."""
 
@@ -170,7 +178,7 @@ def link_inside(sets: list[np.ndarray], first: list[int]) -> list[int]:
 
 
 COUNTS = "array<struct<token:long,seen:long>>"
-PROFILE = f"doc_id long, tid long, n long, class long, keys array<long>, frequent {COUNTS}, words {COUNTS}"
+PROFILE = f"doc_id long, tid long, n long, class long, keys array<long>, bits array<long>, frequent {COUNTS}, words {COUNTS}"
 
 
 def most_seen(values: np.ndarray, least: int, most: int) -> list[dict]:
@@ -188,7 +196,7 @@ def _profiles(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         counts = pa.list_(pa.struct([("token", pa.int64()), ("seen", pa.int64())]))
-        kinds = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("frequent", counts), ("words", counts)])
+        kinds = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("frequent", counts), ("words", counts)])
         for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out, kept, known, words = [], [], {}, []
@@ -196,9 +204,9 @@ def _profiles(rows: DataFrame) -> DataFrame:
                 for i, s in enumerate(sets, begin):
                     name = class_of(s)
                     if name not in known:
-                        known[name] = group_keys(s) if len(s) else []
+                        known[name] = (group_keys(s), parities(s)) if len(s) else ([], [])
                         kept.append(s)
-                    out.append({"doc_id": ids[i], "tid": tids[i], "n": len(s), "class": name, "keys": known[name], "frequent": None, "words": None})
+                    out.append({"doc_id": ids[i], "tid": tids[i], "n": len(s), "class": name, "keys": known[name][0], "bits": known[name][1], "frequent": None, "words": None})
             if kept:
                 out[0]["frequent"] = most_seen(np.concatenate(kept), SEEN, FREQUENT // 8)
                 out[0]["words"] = most_seen(np.concatenate(words), 2, WORDS_KNOWN // 4)
@@ -344,6 +352,14 @@ def _solve_between(members: DataFrame) -> DataFrame:
     return members.select("grp", "asks", "class", "tokens").repartition("grp").sortWithinPartitions("grp", "asks", "class").mapInArrow(run, "a long, b long")
 
 
+def _resembling(asked: DataFrame, homes: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs class, grp of asked where some member's parities allow a link: sets that link differ in a ninth of their tokens at most."""
+    other = classes.select(F.col("class").alias("member"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
+    pairs = asked.join(homes.select(F.col("class").alias("member"), "grp"), "grp").join(classes, "class").join(other, "member")
+    differ = F.aggregate(F.zip_with("bits", "theirs", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
+    return pairs.where((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("m"))).select("class", "grp").distinct()
+
+
 def _most(profiles: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the values most seen over all documents."""
     seen = profiles.where(F.col(column).isNotNull()).select(F.explode(column).alias("f")).groupBy("f.token").agg(F.sum("f.seen").alias("seen"))
@@ -358,8 +374,8 @@ def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFra
     rows = docs.select(quoted(ident).cast("long").alias("doc_id"), F.xxhash64(whole).alias("tid"), whole.alias("text"))
     profiles = materialize(_profiles(rows), "jaccard-profiles")
     ordered = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("tid").alias("z"))
-    classes = profiles.where("n > 0").groupBy("class").agg(F.min(ordered).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = materialize(classes.select("class", "n", "keys", F.col("rep.y").alias("doc_id"), F.col("rep.z").alias("tid")), "jaccard-classes")
+    classes = profiles.where("n > 0").groupBy("class").agg(F.min(ordered).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
+    classes = materialize(classes.select("class", "n", "keys", "bits", F.col("rep.y").alias("doc_id"), F.col("rep.z").alias("tid")), "jaccard-classes")
     groups = materialize(_groups(classes), "jaccard-groups")
     reps = classes.select("class", "doc_id", "tid")
     sets = materialize(_fetch(rows, groups.where("own").select("class").join(reps, "class")), "jaccard-sets")
@@ -378,7 +394,7 @@ def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFra
     apart = materialize(found.where("apart").select("token", "class", "grp", "label", "n", "least", "most"), "jaccard-apart")
     rows_of = apart.select("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label"), F.col("least").alias("o_least"), F.col("most").alias("o_most")).distinct()
     asked = apart.join(rows_of, "token").where(f"label < o_label AND grp <> o_grp AND {DENOMINATOR} * o_most >= {NUMERATOR} * n AND {NUMERATOR} * o_least <= {DENOMINATOR} * n").select("class", F.col("o_grp").alias("grp")).distinct()
-    asked = materialize(asked, "jaccard-asked")
+    asked = materialize(_resembling(asked, homes.select("class", "grp"), classes.select("class", "n", "bits")), "jaccard-asked")
     discard(postings)
     discard(apart)
     opened = asked.select("grp").distinct()
