@@ -69,6 +69,13 @@ def unpack(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
+def sliced(batches, rows: int = 500):
+    """Arrow batches of a few rows each, so that a worker's Python objects stay few."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linenet.llm.common import discard, materialize, quoted, unpack, whole_row
+from linenet.llm.common import discard, materialize, quoted, sliced, unpack, whole_row
 from linenet.llm.components import components
 from linenet.llm.suffix import GROUP_BYTES, Hashes, U, mix
 
@@ -35,7 +35,7 @@ KEYS = 6
 GROUP_TOKENS = 1_000_000
 PIVOTS = 3
 FREQUENT = 1 << 17
-SEEN = 4
+SEEN = 2
 BATCH = 2000
 WORDS_KNOWN = 1 << 16
 BITMAP_BITS = 22
@@ -197,7 +197,7 @@ def _profiles(rows: DataFrame) -> DataFrame:
 
         counts = pa.list_(pa.struct([("token", pa.int64()), ("seen", pa.int64())]))
         kinds = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("frequent", counts), ("words", counts)])
-        for batch in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
+        for batch in sliced(batches, BATCH):
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out, kept, known, words = [], [], {}, []
             for begin, sets in sets_of(batch.column(2).to_pylist(), None, words):
@@ -208,7 +208,7 @@ def _profiles(rows: DataFrame) -> DataFrame:
                         kept.append(s)
                     out.append({"doc_id": ids[i], "tid": tids[i], "n": len(s), "class": name, "keys": known[name][0], "bits": known[name][1], "frequent": None, "words": None})
             if kept:
-                out[0]["frequent"] = most_seen(np.concatenate(kept), SEEN, FREQUENT // 8)
+                out[0]["frequent"] = most_seen(np.concatenate(kept), SEEN, FREQUENT // 2)
                 out[0]["words"] = most_seen(np.concatenate(words), 2, WORDS_KNOWN // 4)
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
@@ -241,7 +241,7 @@ def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in sliced(batches):
             names = batch.column(0).to_pylist()
             for begin, sets in sets_of(batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([pa.array(names[begin : begin + len(sets)], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "tokens"])
@@ -303,7 +303,7 @@ def _postings(rows: DataFrame, order) -> DataFrame:
         import pyarrow as pa
 
         common, rank, words, counts = order.value
-        for batch in batches:
+        for batch in sliced(batches):
             seen = set()
             for _, sets in sets_of(batch.column(0).to_pylist(), (words, counts)):
                 tokens, names = [np.zeros(0, np.uint64)], []

@@ -27,11 +27,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linenet.llm.common import quoted
+from linenet.llm.common import quoted, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, SAMPLES = 11, 2
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 1 << 20
 UNITS = re.compile(r" *[^ \n]+| +|\n")
 BLANK, FALLBACK = 0x2581, 1 << 21
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -388,7 +388,7 @@ def encode(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int =
         kinds = {"doc_id": pa.int64(), "draw": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64(), "ids_crc32": pa.int64(), "decoded": pa.bool_()}
         if with_ids:
             kinds["ids"] = pa.list_(pa.int32())
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts, seeds = (batch.column(i).to_pylist() for i in range(3))
             begin = 0
             while begin < len(texts):
