@@ -297,7 +297,7 @@ def _solve_inside(members: DataFrame) -> DataFrame:
 
 
 def _postings(rows: DataFrame, order) -> DataFrame:
-    """token, class: of each set as many of the rarest tokens as a link cannot do without."""
+    """token, class, rest (tokens from this one on): of each set as many of the rarest tokens as a link cannot do without."""
 
     def run(batches):
         import pyarrow as pa
@@ -306,7 +306,7 @@ def _postings(rows: DataFrame, order) -> DataFrame:
         for batch in sliced(batches):
             seen = set()
             for _, sets in sets_of(batch.column(0).to_pylist(), (words, counts)):
-                tokens, names = [np.zeros(0, np.uint64)], []
+                tokens, names, rests = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
                 for s, expected in sets:
                     if not len(s) or (name := class_of(s)) in seen:
                         continue
@@ -319,9 +319,10 @@ def _postings(rows: DataFrame, order) -> DataFrame:
                     part = ordered[: len(s) - needed(len(s)) + 1]
                     tokens.append(part)
                     names += [name] * len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(names, pa.int64())], names=["token", "class"])
+                    rests.append(len(s) - np.arange(len(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(names, pa.int64()), pa.array(np.concatenate(rests))], names=["token", "class", "rest"])
 
-    return rows.select("text").mapInArrow(run, "token long, class long")
+    return rows.select("text").mapInArrow(run, "token long, class long, rest long")
 
 
 def _solve_between(members: DataFrame) -> DataFrame:
@@ -353,11 +354,13 @@ def _solve_between(members: DataFrame) -> DataFrame:
 
 
 def _resembling(asked: DataFrame, homes: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs class, grp of asked where some member's parities allow a link: sets that link differ in a ninth of their tokens at most."""
+    """The pairs class, grp of asked, but for groups of one member whose parities allow no link: sets that link differ in a
+    ninth of their tokens at most. Groups of several members are left to their union, so no pair of classes is made here."""
+    alone = homes.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("member"))
     other = classes.select(F.col("class").alias("member"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
-    pairs = asked.join(homes.select(F.col("class").alias("member"), "grp"), "grp").join(classes, "class").join(other, "member")
+    pairs = asked.join(alone, "grp").join(classes, "class").join(other, "member")
     differ = F.aggregate(F.zip_with("bits", "theirs", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-    return pairs.where((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("m"))).select("class", "grp").distinct()
+    return pairs.where((F.col("members") > 1) | ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("m")))).select("class", "grp")
 
 
 def _most(profiles: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -389,11 +392,13 @@ def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFra
     shared = spark.sparkContext.broadcast((*often, words[0], np.log1p(words[1])))  # FREQUENT + WORDS_KNOWN rows at most
     token = Window.partitionBy("token")
     found = _postings(rows, shared).withColumn("before", F.lag("class").over(token.orderBy("class"))).withColumn("several", F.min("class").over(token) != F.max("class").over(token))
-    postings = materialize(found.where("several AND (before IS NULL OR before <> class)").select("token", "class"), "jaccard-postings")
+    postings = materialize(found.where("several AND (before IS NULL OR before <> class)").select("token", "class", "rest"), "jaccard-postings")
     found = postings.join(homes, "class").withColumn("apart", F.min("label").over(token) != F.max("label").over(token))
-    apart = materialize(found.where("apart").select("token", "class", "grp", "label", "n", "least", "most"), "jaccard-apart")
-    rows_of = apart.select("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label"), F.col("least").alias("o_least"), F.col("most").alias("o_most")).distinct()
-    asked = apart.join(rows_of, "token").where(f"label < o_label AND grp <> o_grp AND {DENOMINATOR} * o_most >= {NUMERATOR} * n AND {NUMERATOR} * o_least <= {DENOMINATOR} * n").select("class", F.col("o_grp").alias("grp")).distinct()
+    apart = materialize(found.where("apart").select("token", "class", "rest", "grp", "label", "n", "least", "most"), "jaccard-apart")
+    rows_of = apart.groupBy("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label")).agg(F.max("rest").alias("o_rest"), F.min("least").alias("o_least"), F.max("most").alias("o_most"))
+    sizes = f"{DENOMINATOR} * o_most >= {NUMERATOR} * n AND {NUMERATOR} * o_least <= {DENOMINATOR} * n"
+    enough = f"{NUMERATOR + DENOMINATOR} * least(rest, o_rest) >= {NUMERATOR} * (n + o_least)"  # what follows the first token shared bounds the overlap
+    asked = apart.join(rows_of, "token").where(f"label < o_label AND grp <> o_grp AND {sizes} AND {enough}").select("class", F.col("o_grp").alias("grp")).distinct()
     asked = materialize(_resembling(asked, homes.select("class", "grp"), classes.select("class", "n", "bits")), "jaccard-asked")
     discard(postings)
     discard(apart)
