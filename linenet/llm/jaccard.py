@@ -326,7 +326,8 @@ def _postings(rows: DataFrame, order) -> DataFrame:
 
 
 def _solve_between(members: DataFrame) -> DataFrame:
-    """members: grp, query (the class that asks, or null), class, tokens, by group with members first. Links a, b."""
+    """members: grp, asks (whether the class asks or is a member), class, label, tokens. Links a, b: from a class that asks
+    to the label of each component of the group with a member that it links to, so as many as components, not members."""
 
     def run(batches):
         import pyarrow as pa
@@ -335,22 +336,22 @@ def _solve_between(members: DataFrame) -> DataFrame:
         group, names, sets, row = None, [], [], None
         for batch in batches:
             out = []
-            for grp, asks, name, tokens in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for grp, asks, name, tokens, label in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if grp != group:
                     group, names, sets, row = grp, [], [], None
                 own = np.frombuffer(tokens, np.uint64)
                 if not asks:
-                    names.append(name)
+                    names.append(label)
                     sets.append(own)
                     continue
                 row = row or GroupRow(sets)
                 shared = row.shared(own)
                 if shared is not None:
-                    out += [{"a": name, "b": names[j]} for j in np.flatnonzero(linked(len(own), row.sizes, shared)).tolist()]
+                    out += [{"a": name, "b": b} for b in sorted({names[j] for j in np.flatnonzero(linked(len(own), row.sizes, shared)).tolist()})]
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return members.select("grp", "asks", "class", "tokens").repartition("grp").sortWithinPartitions("grp", "asks", "class").mapInArrow(run, "a long, b long")
+    return members.select("grp", "asks", "class", "tokens", "label").repartition("grp").sortWithinPartitions("grp", "asks", "class").mapInArrow(run, "a long, b long")
 
 
 def _resembling(asked: DataFrame, homes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -403,10 +404,10 @@ def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFra
     discard(postings)
     discard(apart)
     opened = asked.select("grp").distinct()
-    members = homes.join(opened, "grp", "left_semi").select("class", "grp")
+    members = homes.join(opened, "grp", "left_semi").select("class", "grp", "label")
     involved = members.select("class").unionByName(asked.select("class")).distinct()
     have = materialize(_fetch(rows, involved.join(reps, "class")), "jaccard-opened")
-    both = members.withColumn("asks", F.lit(False)).unionByName(asked.select("class", "grp").withColumn("asks", F.lit(True)))
+    both = members.withColumn("asks", F.lit(False)).unionByName(asked.select("class", "grp", F.lit(None).cast("long").alias("label")).withColumn("asks", F.lit(True)))
     between = _solve_between(both.join(have, "class"))
     links = materialize(inside.select(F.col("class").alias("a"), F.col("label").alias("b")).unionByName(between), "jaccard-links")
     discard(have)
