@@ -22,6 +22,7 @@ import heapq
 import re
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,6 +33,7 @@ from linenet.llm.common import quoted, sliced
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, SAMPLES = 11, 2
 GROUP_CHARS = 1 << 20
+ROWS_KEPT = 1 << 20
 UNITS = re.compile(r" *[^ \n]+| +|\n")
 BLANK, FALLBACK = 0x2581, 1 << 21
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -132,98 +134,129 @@ def uniform(x: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Tables of distinct units. Row p (a character of a unit): `chance` of each piece length, summed from length 1 up; piece `ids`."""
-
-    def __init__(self, vocabulary: Vocabulary, units: list[str]):
-        whole = "".join(units)
-        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32).astype(np.int64)
+    """Tables of distinct units, which grow by `add`. Each row (a character of a unit) has entries, one for each piece that
+    begins there, shorter ones first: piece `ids`, `lengths`, `logs` (log of the chance), `sums` (chances so far), `rows`,
+    `several` (whether other pieces begin there too)."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.numbers, self.n_rows, self.n_entries = vocabulary, Numbers(), 0, 0
+        self.starts = self.ends = np.zeros(0, np.int64)
+        self.firsts, self.opens, self.several = np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, bool)
+        self.ids, self.rows = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.lengths, self.sums, self.logs = np.zeros(0, np.int8), np.zeros(0), np.zeros(0)
+
+    def add(self, units: list[str]) -> None:
+        if not units:
+            return
+        vocabulary = self.vocabulary
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         sizes = np.array([len(u) for u in units], np.int64)
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
-        n, most = len(codes), vocabulary.longest
+        ends = np.cumsum(sizes)
+        n = len(codes)
         literal = codes == BLANK
         codes = np.where(codes == 0x20, BLANK, codes)
-        room = np.repeat(self.ends, sizes) - np.arange(n)
+        room = np.repeat(ends, sizes) - np.arange(n)
         nodes, at, matches = np.zeros(n, np.int32), np.arange(n), []
+        room_for = room
         if literal.any():  # U+2581 itself ends what may be matched
             stop = np.minimum.accumulate(np.where(literal, np.arange(n), n)[::-1])[::-1]
             room_for = np.minimum(room, stop - np.arange(n))
             at = np.flatnonzero(room_for > 0)
             nodes = nodes[at]
-        else:
-            room_for = room
-        self.choices, longest = np.zeros(n, np.int8), np.ones(n, np.int64)
-        for length in range(most):
-            nodes = vocabulary.step(nodes, codes[at + length])
-            whole = vocabulary.ids[nodes]  # node -1: the last, never asked for
-            found = np.flatnonzero((nodes >= 0) & (whole >= 0))
-            rows = at[found]
-            matches.append((rows, whole[found], vocabulary.weights[nodes[found]]))
-            self.choices[rows] += 1
-            longest[rows] = length + 1
-            live = np.flatnonzero((nodes >= 0) & (room_for[at] > length + 1))
+        choices = np.ones(n, np.int64)  # each row has an entry of one character
+        single, weight = np.full(n, -1, np.int32), np.zeros(n)
+        for length in range(1, vocabulary.longest + 1):
+            nodes = vocabulary.step(nodes, codes[at + length - 1])
+            found = np.flatnonzero((nodes >= 0) & (vocabulary.ids[nodes] >= 0))  # node -1: the last, never asked for
+            to, rows = nodes[found], at[found]
+            if length == 1:
+                single[rows], weight[rows] = vocabulary.ids[to], vocabulary.weights[to]
+            else:
+                matches.append((rows, choices[rows], length, vocabulary.ids[to], vocabulary.weights[to]))
+                choices[rows] += 1
+            live = np.flatnonzero((nodes >= 0) & (room_for[at] > length))
             if not len(live):
                 break
             at, nodes = at[live], nodes[live]
-        most = int(longest.max(initial=1))  # lengths that no piece of these units has need no room
-        weights = np.full((n, most), -np.inf)
-        self.ids = np.full((n, most), -1, np.int32)
-        for length, (rows, ids, own) in enumerate(matches[:most]):
-            self.ids[rows, length] = ids
-            weights[rows, length] = own
-        bare = np.flatnonzero(self.ids[:, 0] < 0)
-        self.choices[bare] += 1
+        bare = np.flatnonzero(single < 0)
         c = codes[bare]
-        self.ids[bare, 0] = FALLBACK + c
-        weights[bare, 0] = vocabulary.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-        mass = np.zeros(n + most + 1)  # log of the sum over segmentations of the rest of the unit
-        widths = np.array(sorted({min(w, most) for w in (3, 5, 8, most)}))
-        by = room * len(widths) + np.searchsorted(widths, longest)  # from the units' ends, rows with short pieces only apart
-        order = np.argsort(by, kind="stable")
-        edges = np.append(np.flatnonzero(np.diff(by[order], prepend=-1)), n)
-        self.chance = np.ones((n, most))
+        single[bare] = FALLBACK + c
+        weight[bare] = vocabulary.byte_weight * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        last = np.cumsum(choices)
+        firsts, m = last - choices, int(last[-1])
+        ids, lengths, weights = np.zeros(m, np.int32), np.ones(m, np.int8), np.zeros(m)
+        ids[firsts], weights[firsts] = single, weight
+        for rows, place, length, own, value in matches:
+            place = firsts[rows] + place
+            ids[place], lengths[place], weights[place] = own, length, value
+        rows = np.repeat(np.arange(n), choices)
+        mass, follows = self._mass(room, choices, firsts, rows, lengths, weights)
+        logs = weights + mass[follows] - mass[rows]
+        sums = np.exp(logs)
+        several = np.flatnonzero(choices > 1)
+        place = firsts[several] + 1
+        while len(several):
+            sums[place] += sums[place - 1]
+            going = place + 1 < last[several]
+            several, place = several[going], place[going] + 1
+        sums[last - 1] = 1.0
+        self.starts, self.ends = np.append(self.starts, ends - sizes + self.n_rows), np.append(self.ends, ends + self.n_rows)
+        opens = np.zeros(n, bool)
+        opens[ends - sizes] = True
+        self.opens, self.firsts = np.append(self.opens, opens), np.append(self.firsts, last + self.n_entries)
+        self.several = np.append(self.several, (choices > 1)[rows])
+        self.rows = np.append(self.rows, (rows + self.n_rows).astype(np.int32))
+        self.ids, self.lengths, self.logs, self.sums = np.append(self.ids, ids), np.append(self.lengths, lengths), np.append(self.logs, logs), np.append(self.sums, sums)
+        self.n_rows, self.n_entries = self.n_rows + n, self.n_entries + m
+
+    @staticmethod
+    def _mass(room, choices, firsts, rows, lengths, weights) -> tuple[np.ndarray, np.ndarray]:
+        """Log of the sum over segmentations of the rest of the unit, by row, from the units' ends; and the row after each entry (the last: none)."""
+        n = len(room)
+        left = room[rows] - lengths
+        follows = np.where(left > 0, rows + lengths, n)
+        mass = np.zeros(n + 1)
+        order = np.argsort(room, kind="stable")
+        edges = np.append(np.flatnonzero(np.diff(room[order], prepend=-1)), n)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            rows = order[lo:hi]
-            d, w = divmod(int(by[rows[0]]), len(widths))
-            width = min(d, int(widths[w]))
-            sums = mass[rows[:, None] + np.arange(1, width + 1)]
-            if width == d:
-                sums[:, -1] = 0.0  # the unit's end
-            sums += weights[rows, :width]
-            top = sums.max(axis=1)
-            sums -= top[:, None]
-            sums = np.exp(sums, out=sums).cumsum(axis=1)
-            last = sums[:, -1]
-            mass[rows] = top + np.log(last)
-            sums /= last[:, None]
-            sums[:, -1] = 1.0
-            self.chance[rows, :width] = sums
-
-    def chances(self, rows: np.ndarray) -> np.ndarray:
-        return np.diff(self.chance[rows], axis=-1, prepend=0.0)
-
-    def walk(self, at: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Samples each unit from row `at` to its end. Steps of each, then row, piece length and chance of all steps, unit by unit."""
-        at, live, found = at.copy(), np.flatnonzero(at < ends), []
+            own = order[lo:hi]
+            first, many = firsts[own], choices[own]
+            total = weights[first] + mass[follows[first]]
+            j = 1
+            more = np.flatnonzero(many > 1)
+            while len(more):
+                place = first[more] + j
+                total[more] = np.logaddexp(total[more], weights[place] + mass[follows[place]])
+                j += 1
+                more = more[many[more] > j]
+            mass[own] = total
+        return mass, follows
+
+    def entries(self, row: int) -> slice:
+        return slice(int(self.firsts[row]), int(self.firsts[row + 1]))
+
+    def walk(self, at: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Samples each unit from row `at` to its end. Steps of each, then the entries of all steps, unit by unit."""
+        live = np.flatnonzero(at < ends)
+        at, ends, seeds, found = at[live], ends[live], seeds[live], []
+        steps = np.zeros(len(live) if not len(live) else int(live[-1]) + 1, np.int64)
         while len(live):
-            rows = at[live]
-            c = self.chance[rows]
-            pick = np.argmax(c >= uniform(seeds[live] + np.uint64(len(found)) * GOLD)[:, None], axis=1)
-            here = np.arange(len(live))
-            found.append((live, rows, pick + 1, c[here, pick] - np.where(pick > 0, c[here, pick - 1], 0.0)))
-            at[live] += pick + 1
-            live = live[at[live] < ends[live]]
-        steps = np.zeros(len(at), np.int64)
-        for f in found:
-            steps[f[0]] += 1  # each once
+            pick = self.firsts[at]
+            chance = uniform(seeds + np.uint64(len(found)) * GOLD)
+            later = np.flatnonzero(self.sums[pick] < chance)
+            while len(later):
+                pick[later] += 1
+                later = later[self.sums[pick[later]] < chance[later]]
+            found.append((live, pick))
+            steps[live] += 1  # each once
+            at = at + self.lengths[pick]
+            going = np.flatnonzero(at < ends)
+            live, at, ends, seeds = live[going], at[going], ends[going], seeds[going]
         first = np.cumsum(steps) - steps
-        n = int(steps.sum())
-        out = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-        for k, (unit, *values) in enumerate(found):
-            place = first[unit] + k
-            for o, v in zip(out, values, strict=True):
-                o[place] = v
-        return steps, *out
+        out = np.zeros(int(steps.sum()), np.int64)
+        for k, (unit, pick) in enumerate(found):
+            out[first[unit] + k] = pick
+        return steps, out
 
 
 class Row:
@@ -242,14 +275,14 @@ def truncated(location, bound, noise):
         return -np.logaddexp(-bound, np.log(noise) - location)
 
 
-def openings(upto: np.ndarray, chances: np.ndarray, several: np.ndarray, bound: float, row: Row, path: int, k: int) -> list[tuple[int, float]]:
+def openings(lattice: Lattice, entries: np.ndarray, upto: np.ndarray, bound: float, row: Row, path: int, k: int) -> list[tuple[int, float]]:
     """The k + 1 steps whose other pieces have the greatest perturbed log-probability, with it. upto: log-probability
     before each step, which falls; noise is at most -log(2**-54), about 38, and its logarithm at least -37, so steps far
     enough below the first ones cannot count and are not looked at."""
-    size = 64
+    size = 512
     while True:
-        at = np.flatnonzero(several[:size])
-        location = upto[at] + np.log(np.maximum(1 - chances[at], 1e-300))
+        at = np.flatnonzero(lattice.several[entries[:size]])
+        location = upto[at] + np.log(np.maximum(-np.expm1(lattice.logs[entries[at]]), 1e-300))
         if size >= len(upto):
             break
         if len(at) > k:
@@ -268,83 +301,72 @@ def sample(lattice: Lattice, rows: list[Row], k: int) -> None:
     """Fills each row's `done`: (log-probability, perturbed, path), best first, and leaves the next bound in its frontier."""
 
     def go(jobs: list[tuple]) -> None:
-        """jobs: row, bound, steps before (row, length, chance, mask), first unit, first lattice row."""
+        """jobs: row, bound, entries before and their logs, first unit, first lattice row."""
         if not jobs:
             return
-        at, ends, seeds, spans = [], [], [], []
-        for row, _, before, unit, first in jobs:
-            own = row.units[unit:]
-            begin = lattice.starts[own]
-            if len(own):
-                begin[0] = first if first >= 0 else begin[0]
-            at.append(begin)
-            ends.append(lattice.ends[own])
-            base = row.seed + np.uint64((len(row.paths) + 1) * 0xA0761D6478BD642F & (2**64 - 1))
-            seeds.append(mix(base + np.arange(unit, unit + len(own), dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
-            spans.append(len(own))
-        steps, places, lengths, chances = lattice.walk(np.concatenate(at), np.concatenate(ends), np.concatenate(seeds))
-        bounds = np.concatenate([[0], np.cumsum(steps)])
-        logs = np.log(np.maximum(chances, 1e-300))
-        several = lattice.choices[places] > 1
-        u = 0
-        for (row, bound, before, unit, _), span in zip(jobs, spans, strict=True):
-            lo, hi = bounds[u], bounds[u + span]
-            place, length, log = places[lo:hi], lengths[lo:hi], logs[lo:hi]
-            if len(before[0]):
-                place, length, log = np.concatenate([before[0], place]), np.concatenate([before[1], length]), np.concatenate([before[2], log])
-            upto = np.cumsum(log)
-            path, n = len(row.paths), len(before[0])
-            row.paths.append((place, length, log))
+        own = np.concatenate([row.units[unit:] for row, _, _, _, unit, _ in jobs])
+        spans = np.array([len(job[0].units) - job[4] for job in jobs], np.int64)
+        heads = np.cumsum(spans) - spans
+        at = lattice.starts[own]
+        for (*_, first), head in zip(jobs, heads.tolist(), strict=True):
+            if first >= 0:
+                at[head] = first
+        bases = np.array([int(row.seed) + (len(row.paths) + 1) * 0xA0761D6478BD642F & (2**64 - 1) for row, *_ in jobs], np.uint64)
+        number = np.arange(len(own)) + np.repeat(np.array([job[4] for job in jobs], np.int64) - heads, spans)
+        steps, found = lattice.walk(at, lattice.ends[own], mix(np.repeat(bases, spans) + number.astype(np.uint64) * np.uint64(0xE7037ED1A0B428DB)))
+        sizes = np.zeros(len(jobs), np.int64)
+        np.add.at(sizes, np.repeat(np.arange(len(jobs)), spans)[: len(steps)], steps)
+        logs = lattice.logs[found]
+        hi = 0
+        for (row, bound, before, earlier, _, _), size in zip(jobs, sizes.tolist(), strict=True):
+            lo, hi = hi, hi + size
+            entries, log = found[lo:hi], logs[lo:hi]
+            n = len(before)
+            whole = np.concatenate([before, entries]) if n else entries
+            whole_log = np.concatenate([earlier, log]) if n else log
+            upto = np.cumsum(whole_log)
+            path = len(row.paths)
+            row.paths.append((whole, whole_log))
             row.done.append((float(upto[-1]) if len(upto) else 0.0, bound, path))
-            for t, value in openings(upto[n:] - log[n:], chances[lo:hi], several[lo:hi], bound, row, path, k):
-                heapq.heappush(row.frontier, (-value, path, n + t, 1 << int(length[n + t] - 1)))
-            u += span
+            for t, value in openings(lattice, entries, upto[n:] - log, bound, row, path, k):
+                heapq.heappush(row.frontier, (-value, path, n + t, 1 << int(lattice.lengths[entries[t]] - 1)))
 
-    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    go([(row, float(-np.log(row.noise(0, 1, 2)[0])), empty, 0, -1) for row in rows])
+    empty = np.zeros(0, np.int64), np.zeros(0)
+    go([(row, float(-np.log(row.noise(0, 1, 2)[0])), *empty, 0, -1) for row in rows])
     for _ in range(k - 1):
         jobs = []
         for row in rows:
             if not row.frontier:
                 continue
             value, path, t, mask = heapq.heappop(row.frontier)
-            place, length, log = row.paths[path]
-            here = int(place[t])
-            chance = lattice.chances(np.array([here]))[0]
-            out = np.array([mask >> i & 1 for i in range(len(chance))], bool) | (lattice.ids[here] < 0)
-            chance = np.where(out, 0.0, chance)
-            chosen = int(np.argmax(np.log(np.maximum(chance, 1e-300)) - np.log(row.noise(len(row.paths), len(chance), 3)) + np.where(out, -np.inf, 0)))
-            before = place[: t + 1], np.append(length[:t], chosen + 1), np.append(log[:t], np.log(max(chance[chosen], 1e-300)))
+            entries, log = row.paths[path]
+            here = int(lattice.rows[entries[t]])
+            choices = lattice.entries(here)
+            lengths = lattice.lengths[choices].astype(np.int64)
+            out = (mask >> (lengths - 1) & 1).astype(bool)
+            chance = np.where(out, 0.0, np.exp(lattice.logs[choices]))
+            chosen = int(np.argmax(np.log(np.maximum(chance, 1e-300)) - np.log(row.noise(len(row.paths), int(lengths[-1]), 3)[lengths - 1]) + np.where(out, -np.inf, 0)))
             left = np.flatnonzero(~out & (np.arange(len(chance)) != chosen))
             if len(left):
                 location = float(log[:t].sum() + np.log(max(chance[left].sum(), 1e-300)))
                 again = float(truncated(location, -value, row.noise(len(row.paths), 1, 4)[0]))
-                heapq.heappush(row.frontier, (-again, path, t, mask | 1 << chosen))
-            unit = unit_number(lattice, row.units, place, t)
-            after = here + chosen + 1
+                heapq.heappush(row.frontier, (-again, path, t, mask | 1 << int(lengths[chosen] - 1)))
+            before = np.append(entries[:t], choices.start + chosen), np.append(log[:t], np.log(max(chance[chosen], 1e-300)))
+            unit = int(lattice.opens[lattice.rows[entries[: t + 1]]].sum()) - 1  # a unit begins where a step stands at its first row
+            after = here + int(lengths[chosen])
             if after < lattice.ends[row.units[unit]]:
-                jobs.append((row, -value, before, unit, after))
+                jobs.append((row, -value, *before, unit, after))
             else:
-                jobs.append((row, -value, before, unit + 1, -1))
+                jobs.append((row, -value, *before, unit + 1, -1))
         go(jobs)
 
 
-def lattice_unit(lattice: Lattice, places: np.ndarray) -> np.ndarray:
-    return np.searchsorted(lattice.ends, places, side="right")
-
-
-def unit_number(lattice: Lattice, units: np.ndarray, places: np.ndarray, t: int) -> int:
-    """Which unit of the text step t belongs to: units begin where a step stands at the unit's first row."""
-    return int((places[: t + 1] == lattice.starts[lattice_unit(lattice, places[: t + 1])]).sum()) - 1
-
-
-def ids_of(vocabulary: Vocabulary, lattice: Lattice, path) -> np.ndarray:
+def ids_of(vocabulary: Vocabulary, lattice: Lattice, entries: np.ndarray) -> np.ndarray:
     """Piece ids; characters outside the vocabulary become byte pieces."""
-    place, length, _ = path
-    ids = lattice.ids[place, length - 1] if len(place) else np.zeros(0, np.int32)
+    ids = lattice.ids[entries]
     bare = np.flatnonzero(ids >= FALLBACK)
     if not len(bare):
-        return ids.astype(np.int32)
+        return ids
     out, before = [], 0
     for b in bare.tolist():
         out += [ids[before:b], np.frombuffer(chr(int(ids[b]) - FALLBACK).encode("utf-8", "replace"), np.uint8).astype(np.int32) + vocabulary.bytes_from]
@@ -360,20 +382,20 @@ class Numbers(dict):
         return number
 
 
-def segment(vocabulary: Vocabulary, texts: list[str | None], seeds: list[int], k: int = SAMPLES) -> list[list[dict]]:
-    """For each text its draws: ids, log_prob, perturbed, inclusion."""
-    numbers = Numbers()
-    rows = []
+def segment(vocabulary: Vocabulary, texts: list[str | None], seeds: list[int], k: int = SAMPLES, lattice: Lattice | None = None) -> list[list[dict]]:
+    """For each text its draws: ids, log_prob, perturbed, inclusion. A lattice given is used and grows."""
+    lattice = lattice or Lattice(vocabulary)
+    known, rows = len(lattice.numbers), []
     for text, seed in zip(texts, seeds, strict=True):
         found = UNITS.findall(" " + text) if text else []
-        rows.append(Row(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)), np.uint64(seed & (2**64 - 1))))
+        rows.append(Row(np.fromiter(map(lattice.numbers.__getitem__, found), np.int64, len(found)), np.uint64(seed & (2**64 - 1))))
     with np.errstate(over="ignore"):
-        lattice = Lattice(vocabulary, list(numbers))
+        lattice.add(list(islice(lattice.numbers, known, None)))
         sample(lattice, rows, k)
     out = []
     for row in rows:
         best = -row.frontier[0][0] if row.frontier else -np.inf
-        out.append([{"ids": ids_of(vocabulary, lattice, row.paths[p]), "log_prob": log, "perturbed": value, "inclusion": float(-np.expm1(-np.exp(min(700.0, log - best))))} for log, value, p in row.done])
+        out.append([{"ids": ids_of(vocabulary, lattice, row.paths[p][0]), "log_prob": log, "perturbed": value, "inclusion": float(-np.expm1(-np.exp(min(700.0, log - best))))} for log, value, p in row.done])
     return out
 
 
@@ -385,6 +407,7 @@ def encode(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int =
         import pyarrow as pa
 
         vocabulary = load(model)
+        lattice = Lattice(vocabulary)
         kinds = {"doc_id": pa.int64(), "draw": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64(), "ids_crc32": pa.int64(), "decoded": pa.bool_()}
         if with_ids:
             kinds["ids"] = pa.list_(pa.int32())
@@ -397,7 +420,9 @@ def encode(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int =
                     chars += len(texts[end] or "")
                     end += 1
                 out = []
-                for i, draws in enumerate(segment(vocabulary, texts[begin:end], seeds[begin:end], k), begin):
+                if lattice.n_rows > ROWS_KEPT:
+                    lattice = Lattice(vocabulary)
+                for i, draws in enumerate(segment(vocabulary, texts[begin:end], seeds[begin:end], k, lattice), begin):
                     for d, x in enumerate(draws, 1):
                         own = x.pop("ids")
                         out.append({"doc_id": ids[i], "draw": d, "n_pieces": len(own), **x, "ids_crc32": zlib.crc32(own.tobytes()), "decoded": vocabulary.decode(own.tolist()) == (texts[i] or ""), **({"ids": own.tolist()} if with_ids else {})})
