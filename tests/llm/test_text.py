@@ -180,6 +180,16 @@ def test_all_segmentations_once(vocabulary):
     assert {tuple(d["ids"].tolist()) for d in draws} == set(chances) and len(draws) == len(chances)
 
 
+def test_lattice_kept_across_groups(vocabulary):
+    texts = ["the cat sat", "a mat \u2581 x\ny", "", "the mat sat  \U0001f600 the cat", None, "zq" * 300]
+    lattice, kept = pieces.Lattice(vocabulary), []
+    for i, text in enumerate(texts):
+        kept += pieces.segment(vocabulary, [text], [i], 3, lattice)
+    for a, b in zip(kept, pieces.segment(vocabulary, texts, list(range(len(texts))), 3), strict=True):
+        assert [x["ids"].tolist() for x in a] == [x["ids"].tolist() for x in b]
+        assert [x["inclusion"] for x in a] == pytest.approx([x["inclusion"] for x in b])
+
+
 def test_encode_round_trip(spark):
     texts = ["", None, "a  b\n\nc\t é ▁ x 😀 " + "q" * 3000, " ", "\n", "x y\r\n", "a", "a"]
     df = spark.createDataFrame([(i if i % 3 else None, t, i, "x") for i, t in enumerate(texts)], SCHEMA)
