@@ -409,8 +409,6 @@ def encode(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int =
         vocabulary = load(model)
         lattice = Lattice(vocabulary)
         kinds = {"doc_id": pa.int64(), "draw": pa.int32(), "n_pieces": pa.int64(), "log_prob": pa.float64(), "perturbed": pa.float64(), "inclusion": pa.float64(), "ids_crc32": pa.int64(), "decoded": pa.bool_()}
-        if with_ids:
-            kinds["ids"] = pa.list_(pa.int32())
         for batch in sliced(batches):
             ids, texts, seeds = (batch.column(i).to_pylist() for i in range(3))
             begin = 0
@@ -419,14 +417,19 @@ def encode(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int =
                 while end < len(texts) and (end == begin or chars < GROUP_CHARS):
                     chars += len(texts[end] or "")
                     end += 1
-                out = []
+                out, pieces = [], []
                 if lattice.n_rows > ROWS_KEPT:
                     lattice = Lattice(vocabulary)
                 for i, draws in enumerate(segment(vocabulary, texts[begin:end], seeds[begin:end], k, lattice), begin):
                     for d, x in enumerate(draws, 1):
                         own = x.pop("ids")
-                        out.append({"doc_id": ids[i], "draw": d, "n_pieces": len(own), **x, "ids_crc32": zlib.crc32(own.tobytes()), "decoded": vocabulary.decode(own.tolist()) == (texts[i] or ""), **({"ids": own.tolist()} if with_ids else {})})
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema(list(kinds.items())))
+                        pieces.append(own)
+                        out.append({"doc_id": ids[i], "draw": d, "n_pieces": len(own), **x, "ids_crc32": zlib.crc32(own.tobytes()), "decoded": vocabulary.decode(own.tolist()) == (texts[i] or "")})
+                made = pa.RecordBatch.from_pylist(out, schema=pa.schema(list(kinds.items())))
+                if with_ids:  # from the arrays as they are: a list for each row would cost an object for each piece
+                    ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)
+                    made = made.append_column("ids", pa.ListArray.from_arrays(ends, np.concatenate([*pieces, np.zeros(0, np.int32)]).astype(np.int32, copy=False)))
+                yield made
                 begin = end
 
     rows = docs.select(quoted(ident).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), F.xxhash64(F.lit(seed), quoted(ident)).alias("seed"))

@@ -33,7 +33,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(documents(spark, sf_dir), with_ids=False)
+    return pieces.encode(documents(spark, sf_dir))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

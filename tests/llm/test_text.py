@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -200,6 +201,18 @@ def test_encode_round_trip(spark):
     assert pieces.encode(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_registered_uses_return_the_segmentations(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for found in (queries.op5_sentencepiece(spark, sf), corpus_pipeline.STAGES[-1][1](spark, docs, sf)):
+        rows = pieces.decode(found).collect()
+        assert {r.doc_id for r in rows} == set(texts) and {r.draw for r in rows} == {1, 2}
+        assert all(r.text == texts[r.doc_id] and len(r.ids) == r.n_pieces for r in rows)
+        assert all(zlib.crc32(np.array(r.ids, np.int32).tobytes()) == r.ids_crc32 for r in rows)
+
+
 def test_toxicity(spark, sf):
     found = queries.op2_toxicity(spark, sf)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
