@@ -107,6 +107,71 @@ def share_within(samples: DataFrame, marks: DataFrame, reach: float) -> DataFram
     return samples.join(hit, ["id", "k"], "left").groupBy("id").agg(F.avg(F.coalesce("hit", F.lit(0)).cast("double")).alias("share"))
 
 
+def pieces_by_cell(segs: DataFrame, keep: list[str], size: float) -> DataFrame:
+    """Segments cut at the lines of the grid: keep, x1 .. y2 of the whole segment, t0, t1 (shares of it) and the cell ix, iy."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+
+    def cuts(start, end, delta):
+        lo, hi = F.floor(F.least(start, end) / size) + 1, F.ceil(F.greatest(start, end) / size) - 1
+        return F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), lambda i: (i * size - start) / delta)).otherwise(F.array().cast("array<double>"))
+
+    at = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts(F.col("x1"), F.col("x2"), dx), cuts(F.col("y1"), F.col("y2"), dy)))
+    spans = F.arrays_zip(F.slice("at", F.lit(1), F.size("at") - 1).alias("t0"), F.slice("at", F.lit(2), F.size("at") - 1).alias("t1"))
+    cut = segs.withColumn("at", at).select(*keep, "x1", "y1", "x2", "y2", F.explode(spans).alias("p")).select(*keep, "x1", "y1", "x2", "y2", "p.t0", "p.t1").where("t0 < t1")
+    middle = (F.col("t0") + F.col("t1")) / 2
+    return cut.withColumn("ix", F.floor((F.col("x1") + middle * dx) / size)).withColumn("iy", F.floor((F.col("y1") + middle * dy) / size))
+
+
+def length_share_within(segs: DataFrame, marks: DataFrame, reach: float) -> DataFrame:
+    """segs: id, x1 .. y2, len, m0; marks: segments x1 .. y2. Share of each line's length within reach of any mark: id, share.
+
+    What lies within reach of one mark is one interval of a segment (a capsule is convex); the intervals are merged along
+    the line, so that ground near several marks counts once. Round ends are true arcs. A line of no length has share 0."""
+    size = reach * 4
+    c = F.col
+    span = G.distance(c("x1"), c("y1"), c("x2"), c("y2"))
+    unit = lambda d, n: F.when(n > 0, d / n).otherwise(0.0)
+    there = marks.select("x1", "y1", "x2", "y2").distinct().withColumn("span", span).withColumn("vx", unit(c("x2") - c("x1"), c("span"))).withColumn("vy", unit(c("y2") - c("y1"), c("span")))
+    there = there.withColumn("c", F.explode(cells(c("x1"), c("y1"), c("x2"), c("y2"), size, reach)))
+    there = there.select(c("x1").alias("ax"), c("y1").alias("ay"), c("x2").alias("bx"), c("y2").alias("by"), "vx", "vy", "span", c("c.ix").alias("ix"), c("c.iy").alias("iy"))
+    cut = pieces_by_cell(segs.where("len > 0"), ["id", "len", "m0"], size)
+    cut = cut.select("id", "m0", "ix", "iy", "x1", "y1", (c("t0") * c("len")).alias("d0"), (c("t1") * c("len")).alias("d1"), ((c("x2") - c("x1")) / c("len")).alias("ux"), ((c("y2") - c("y1")) / c("len")).alias("uy"))
+    met = cut.join(there, ["ix", "iy"])
+    # In metres along the segment: fa, fb are the feet of the mark's ends, ga, gb their distances; p and q run along and across the mark.
+    met = met.withColumns({"ax": c("ax") - c("x1"), "ay": c("ay") - c("y1"), "bx": c("bx") - c("x1"), "by": c("by") - c("y1")})
+    met = met.withColumns({
+        "fa": c("ax") * c("ux") + c("ay") * c("uy"), "ga": c("ax") * c("uy") - c("ay") * c("ux"), "fb": c("bx") * c("ux") + c("by") * c("uy"), "gb": c("bx") * c("uy") - c("by") * c("ux"),
+        "p": -(c("ax") * c("vx") + c("ay") * c("vy")), "dp": c("ux") * c("vx") + c("uy") * c("vy"), "q": c("ay") * c("vx") - c("ax") * c("vy"), "dq": c("ux") * c("vy") - c("uy") * c("vx"),
+    })
+    part = lambda d, by: F.when(by != 0, d / by)
+    half = lambda g: F.when(F.abs(g) <= reach, F.sqrt(reach * reach - g * g))
+    met = met.withColumns({
+        "ha": half(c("ga")), "hb": half(c("gb")), "p0": part(-c("p"), c("dp")), "p1": part(c("span") - c("p"), c("dp")), "q0": part(-reach - c("q"), c("dq")), "q1": part(reach - c("q"), c("dq")),
+        "over": (c("span") > 0) & ((c("dp") != 0) | c("p").between(0, c("span"))) & ((c("dq") != 0) | (F.abs(c("q")) <= reach)),
+    })
+    met = met.withColumns({"enter": F.greatest(F.least("p0", "p1"), F.least("q0", "q1")), "leave": F.least(F.greatest("p0", "p1"), F.greatest("q0", "q1"))})  # nulls are skipped
+    strip = c("over") & (c("enter") <= c("leave"))
+    met = met.withColumns({"lo": F.least(c("fa") - c("ha"), c("fb") - c("hb"), F.when(strip, c("enter"))), "hi": F.greatest(c("fa") + c("ha"), c("fb") + c("hb"), F.when(strip, c("leave")))})
+    span_of = F.struct(F.when(c("lo").isNotNull(), F.greatest("d0", "lo")).alias("lo"), F.when(c("hi").isNotNull(), F.least("d1", "hi")).alias("hi"))
+    found = met.select("id", "m0", F.explode(F.array(span_of)).alias("s")).where("s.lo < s.hi")  # exploded, so that the filter isn't pushed into the join with all of the above
+    found = found.select("id", (c("m0") + c("s.lo")).alias("lo"), (c("m0") + c("s.hi")).alias("hi"))
+    before = F.max("hi").over(Window.partitionBy("id").orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    gained = F.greatest(F.lit(0.0), F.col("hi") - F.greatest("lo", before))
+    covered = found.withColumn("gained", gained).groupBy("id").agg(F.sum("gained").alias("covered"))
+    whole = segs.groupBy("id").agg(F.sum("len").alias("whole"))
+    share = F.when(F.col("whole") > 0, F.least(F.lit(1.0), F.coalesce("covered", F.lit(0.0)) / F.col("whole"))).otherwise(0.0)
+    return whole.join(covered, "id", "left").select("id", share.alias("share"))
+
+
+def waymarked(segs: DataFrame, marked: DataFrame, unmarked: DataFrame, reach: float, least: float = 0.5) -> DataFrame:
+    """segs: as for length_share_within, and walked. Marked where `least` of the length is within reach of the marked mask,
+    failing that unmarked by the other mask, failing both unknown; null where not walked (ferries, bridges of gaps)."""
+    asked = segs.where("walked")
+    on, off = length_share_within(asked, marked, reach).withColumnRenamed("share", "marked_share"), length_share_within(asked, unmarked, reach).withColumnRenamed("share", "unmarked_share")
+    found = segs.select("id").distinct().join(on, "id", "left").join(off, "id", "left")
+    return found.withColumn("waymarked", F.when(F.col("marked_share") >= least, "marked").when(F.col("unmarked_share") >= least, "unmarked").when(F.col("marked_share").isNotNull(), "unknown"))
+
+
 def nearest_on_lines(points: DataFrame, segs: DataFrame, most: float) -> DataFrame:
     """points: id, x, y; segs: line_id, seg ... The nearest segment within `most`: id, line_id, seg, distance."""
     spread = segs.select("*", F.explode(cells(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), most * 2, most)).alias("c")).select(*segs.columns, F.col("c.ix").alias("ix"), F.col("c.iy").alias("iy"))

@@ -505,6 +505,33 @@ def _(t):
     return share.select(F.col("id").alias("line_id"), F.round("share", 6).alias("share"), F.when(F.col("share") >= 0.5, "marked").otherwise("unknown").alias("waymarked"))
 
 
+# Brute force over all pairs of segment and mark: what of a segment is near a mark's two ends and its strip, then the union.
+NEAR = f"""WITH {V}, {SU}, sg AS (SELECT *, sum(len) OVER (PARTITION BY line_id ORDER BY seg) - len AS m0 FROM s WHERE line_id % 7 <> 0),
+  mk AS (SELECT 'on' AS mask, x AS a, y AS b, x + 300 AS c, y AS d FROM su UNION ALL SELECT 'off', x, y, x, y + 300 FROM su),
+  pr AS (SELECT *, (x2 - x1) / len AS ux, (y2 - y1) / len AS uy, (c - a) / 300 AS vx, (d - b) / 300 AS vy FROM sg, mk),
+  pt AS (SELECT *, (a - x1) * ux + (b - y1) * uy AS fa, (c - x1) * ux + (d - y1) * uy AS fc, abs((a - x1) * uy - (b - y1) * ux) AS ga, abs((c - x1) * uy - (d - y1) * ux) AS gc,
+    (x1 - a) * vx + (y1 - b) * vy AS p, ux * vx + uy * vy AS dp, (x1 - a) * vy - (y1 - b) * vx AS q, ux * vy - uy * vx AS dq FROM pr),
+  st AS (SELECT *, CASE WHEN dp = 0 AND (p < 0 OR p > 300) OR dq = 0 AND abs(q) > 25 THEN NULL ELSE greatest(CASE WHEN dp = 0 THEN -1e9 ELSE least(-p / dp, (300 - p) / dp) END, CASE WHEN dq = 0 THEN -1e9 ELSE least((-25 - q) / dq, (25 - q) / dq) END) END AS sl,
+    least(CASE WHEN dp = 0 THEN 1e9 ELSE greatest(-p / dp, (300 - p) / dp) END, CASE WHEN dq = 0 THEN 1e9 ELSE greatest((-25 - q) / dq, (25 - q) / dq) END) AS sh FROM pt),
+  part AS (SELECT mask, line_id, m0, len, fa - sqrt(625 - ga * ga) AS lo, fa + sqrt(625 - ga * ga) AS hi FROM (SELECT * FROM st WHERE ga <= 25)
+    UNION ALL SELECT mask, line_id, m0, len, fc - sqrt(625 - gc * gc), fc + sqrt(625 - gc * gc) FROM (SELECT * FROM st WHERE gc <= 25)
+    UNION ALL SELECT mask, line_id, m0, len, sl, sh FROM st WHERE sl <= sh),
+  iv AS (SELECT mask, line_id, m0 + greatest(lo, 0) AS lo, m0 + least(hi, len) AS hi FROM part WHERE greatest(lo, 0) < least(hi, len)),
+  gp AS (SELECT mask, line_id, greatest(0, hi - greatest(lo, coalesce(max(hi) OVER (PARTITION BY mask, line_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lo))) AS gained FROM iv),
+  cv AS (SELECT line_id, sum(gained) FILTER (mask = 'on') AS near_on, sum(gained) FILTER (mask = 'off') AS near_off FROM gp GROUP BY 1),
+  sh AS (SELECT w.line_id, CASE WHEN w.line_id % 7 <> 0 THEN least(1, coalesce(near_on, 0) / whole) END AS marked_share, CASE WHEN w.line_id % 7 <> 0 THEN least(1, coalesce(near_off, 0) / whole) END AS unmarked_share FROM (SELECT line_id, sum(len) AS whole FROM s GROUP BY 1) w LEFT JOIN cv USING (line_id))"""
+
+
+@query("d01_waymarked_by_length", f"{NEAR} SELECT line_id, round(marked_share, 6) AS marked_share, round(unmarked_share, 6) AS unmarked_share, CASE WHEN marked_share >= 0.5 THEN 'marked' WHEN unmarked_share >= 0.5 THEN 'unmarked' WHEN marked_share IS NOT NULL THEN 'unknown' END AS waymarked FROM sh")
+def _(t):
+    s = t.suppliers()
+    marked = s.select(F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 300).alias("x2"), F.col("y").alias("y2"))
+    unmarked = s.select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), (F.col("y") + 300).alias("y2"))
+    segs = t.segments().withColumnRenamed("line_id", "id").withColumn("walked", F.col("id") % 7 != 0)
+    found = L.waymarked(segs, marked, unmarked, 25.0)
+    return found.select(F.col("id").alias("line_id"), F.round("marked_share", 6).alias("marked_share"), F.round("unmarked_share", 6).alias("unmarked_share"), "waymarked")
+
+
 @query("j08_nearest_on_lines", f"WITH {CU}, {SU}, mk AS (SELECT rid AS line_id, x AS x1, y AS y1, x + 60 AS x2 FROM su), d AS (SELECT id, line_id, sqrt(power(cu.x - greatest(x1, least(x2, cu.x)), 2) + power(cu.y - y1, 2)) AS distance FROM cu, mk), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, line_id) AS r FROM d WHERE distance <= 25) SELECT id, line_id, round(distance, 6) AS distance FROM b WHERE r = 1")
 def _(t):
     segs = t.suppliers().select(F.col("rid").alias("line_id"), F.lit(0).alias("seg"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + 60).alias("x2"), F.col("y").alias("y2"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linenet.functions import geometry as G
 from linenet.functions import text as X
+from linenet.operators import lines as L
 from linenet.operators import network as N
 from linenet.operators import series as S
 from linenet.operators import shapes
@@ -170,3 +171,20 @@ def test_stream(spark, sf, tmp_path):
     query.stop()
     assert spark.table("windowed").count() == events.windowed(batch).count()
     assert math.isclose(spark.table("windowed").agg(F.sum("total")).first()[0], batch.agg(F.sum("value")).first()[0])
+
+
+def lines_of(spark, lines):
+    rows = [(k, [(float(x), float(y)) for x, y in coords]) for k, coords in lines.items()]
+    return spark.createDataFrame(rows, "id long, coords array<struct<x: double, y: double>>")
+
+
+def test_share_of_length_between_far_vertices(spark):
+    lines = {1: [(0, 0), (1000, 0)], 2: [(0, 500), (10, 500)], 3: [(500, -200), (500, 200)], 4: [(-50, 8), (50, 8)], 5: [(350, 0), (650, 0)]}
+    segs = L.segments(lines_of(spark, lines), ["id"]).withColumn("walked", F.col("id") != 5)
+    mark = "x1 double, y1 double, x2 double, y2 double"
+    marked = spark.createDataFrame([(200.0, 0.0, 600.0, 0.0), (400.0, 0.0, 800.0, 0.0), (400.0, 5.0, 400.0, 5.0), (0.0, 0.0, 0.0, 0.0)], mark)
+    shares = {r.id: r.share for r in L.length_share_within(segs, marked, 10.0).collect()}
+    assert shares == pytest.approx({1: 0.63, 2: 0.0, 3: 0.05, 4: 0.12, 5: 1.0}, abs=1e-9)  # both sides of x = 0 and overlaps once
+    unmarked = spark.createDataFrame([(0.0, 505.0, 5.0, 505.0), (0.0, 0.0, 1000.0, 0.0)], mark)
+    found = {r.id: r.waymarked for r in L.waymarked(segs, marked, unmarked, 10.0).collect()}
+    assert found == {1: "marked", 2: "unmarked", 3: "unknown", 4: "unmarked", 5: None}
