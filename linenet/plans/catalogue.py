@@ -196,6 +196,11 @@ def _(t):
     return big.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_partkey", "o_orderstatus", F.col("l_linestatus").alias("status_info"))
 
 
+@query("j02_join_info_whole", "SELECT o_orderkey, l_linenumber, l_partkey, o_orderstatus, l_linestatus AS status_info FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def _(t):
+    return t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_partkey", "o_orderstatus", F.col("l_linestatus").alias("status_info"))
+
+
 @query("j03_joined_values", "SELECT o_orderkey, v.flags FROM orders LEFT JOIN (SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ' / ' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY 1) v ON l_orderkey = o_orderkey")
 def _(t):
     flags = t.lineitem.groupBy("l_orderkey").agg(X.combine(F.collect_set("l_returnflag")).alias("flags"))

@@ -1,5 +1,6 @@
 import pytest
 from oracle import same, views
+from pyspark.sql import functions as F
 
 from linenet import registry
 
@@ -16,6 +17,11 @@ def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
 
+def test_join_info_has_every_line(spark, sf):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").join(spark.read.parquet(f"{sf}/orders.parquet"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+    assert QUERIES["j02_join_info_whole"](spark, sf).count() == lines.count()
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
