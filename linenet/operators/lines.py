@@ -76,6 +76,43 @@ def crossing_points(segs: DataFrame, cell: float) -> DataFrame:
     return found.select(F.col("a_line_id").alias("a"), F.col("b_line_id").alias("b"), F.col("a_seg"), F.col("b_seg"), "x", "y", "t", "u")
 
 
+def intersection_points(segs: DataFrame, cell: float) -> DataFrame:
+    """segs: line_id, seg, x1 .. y2. Where lines meet, a <= b, each point of a pair once: a, b, x, y, a_seg, b_seg (the first).
+
+    Crossings, touches (ends and vertices on the other line), both ends of each stretch that two segments share, and, with
+    a = b, the same between segments of one line; its own vertices and the closing of a ring are no meeting. Sides are
+    told by one formula for each vertex and segment, so that a vertex on a segment is one to both its neighbours."""
+    c = F.col
+    own = Window.partitionBy("line_id")
+    spread = segs.select("line_id", "seg", "x1", "y1", "x2", "y2").withColumn("ends", (c("seg") == F.min("seg").over(own)).cast("int") - (c("seg") == F.max("seg").over(own)).cast("int"))
+    spread = spread.withColumn("c", F.explode(cells(c("x1"), c("y1"), c("x2"), c("y2"), cell)))
+    sides = {s: spread.select(*[c(k).alias(f"{s}_{k}") for k in ("line_id", "seg", "ends", "x1", "y1", "x2", "y2")], c("c.ix").alias("ix"), c("c.iy").alias("iy")) for s in "ab"}
+    low = lambda axis: F.floor(F.greatest(F.least(f"a_{axis}1", f"a_{axis}2"), F.least(f"b_{axis}1", f"b_{axis}2")) / cell)
+    same = c("a_line_id") == c("b_line_id")
+    met = sides["a"].join(sides["b"], ["ix", "iy"]).where((c("a_line_id") < c("b_line_id")) | same & (c("a_seg") < c("b_seg"))).where((c("ix") == low("x")) & (c("iy") == low("y")))
+
+    def side(of, px, py):
+        return (c(f"{of}_x2") - c(f"{of}_x1")) * (py - c(f"{of}_y1")) - (c(f"{of}_y2") - c(f"{of}_y1")) * (px - c(f"{of}_x1"))
+
+    met = met.withColumns({f"{s}{k}": side("b" if s == "a" else "a", c(f"{s}_x{k}"), c(f"{s}_y{k}")) for s in "ab" for k in (1, 2)})
+    met = met.where((F.signum("a1") * F.signum("a2") <= 0) & (F.signum("b1") * F.signum("b2") <= 0))
+    line = (c("a1") == 0) & (c("a2") == 0) & (c("b1") == 0) & (c("b2") == 0)
+    point = lambda s, k: F.struct(c(f"{s}_x{k}").alias("x"), c(f"{s}_y{k}").alias("y"))
+    within = lambda s, k, o: F.when(c(f"{s}_x{k}").between(F.least(f"{o}_x1", f"{o}_x2"), F.greatest(f"{o}_x1", f"{o}_x2")) & c(f"{s}_y{k}").between(F.least(f"{o}_y1", f"{o}_y2"), F.greatest(f"{o}_y1", f"{o}_y2")), point(s, k))
+    t = c("a1") / F.when(c("a1") != c("a2"), c("a1") - c("a2"))
+    inner = F.struct((c("a_x1") + t * (c("a_x2") - c("a_x1"))).alias("x"), (c("a_y1") + t * (c("a_y2") - c("a_y1"))).alias("y"))
+    single = F.coalesce(*[F.when(c(f"{s}{k}") == 0, point(s, k)) for s in "ab" for k in (1, 2)], inner)
+    shared = F.array_distinct(F.array_compact(F.array(*[within(s, k, o) for s, o in ("ab", "ba") for k in (1, 2)])))
+    found = F.when(line, shared).otherwise(F.array(single))
+    following = same & (c("b_seg") == c("a_seg") + 1) & (c("a_x2") == c("b_x1")) & (c("a_y2") == c("b_y1"))
+    closing = same & (c("a_ends") == 1) & (c("b_ends") == -1) & (c("a_x1") == c("b_x2")) & (c("a_y1") == c("b_y2"))
+    joined = following | closing
+    met = met.withColumn("points", found).withColumn("joined", joined)
+    # Neighbours meet in their vertex at least; more than that is a line that turns back on itself.
+    met = met.where(~c("joined") | (F.size("points") > 1)).select(c("a_line_id").alias("a"), c("b_line_id").alias("b"), "a_seg", "b_seg", F.explode("points").alias("p"))
+    return met.groupBy("a", "b", c("p.x").alias("x"), c("p.y").alias("y")).agg(F.min(F.struct("a_seg", "b_seg")).alias("first")).select("a", "b", "x", "y", "first.a_seg", "first.b_seg")
+
+
 def inside_boxes(segs: DataFrame, boxes: DataFrame, key: list[str]) -> DataFrame:
     """Metres of each line inside each box (area_id, x0, y0, x1, y1), where over 0, by clipping segments. Boxes are few: areas."""
     b = boxes.select("area_id", F.col("x0").alias("bx0"), F.col("y0").alias("by0"), F.col("x1").alias("bx1"), F.col("y1").alias("by1"))

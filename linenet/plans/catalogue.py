@@ -139,6 +139,27 @@ def _(t):
     return L.crossing_points(segs, 50.0).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("t"), 3).alias("t"))
 
 
+# g07's segments; from every tenth one a branch leaves its middle, and along every tenth one lies a part of it.
+MEETING = """WITH c0 AS (SELECT c_nationkey AS line, c_custkey AS id, ((c_custkey * 37) % 1009)::DOUBLE AS x, ((c_custkey * 101) % 997)::DOUBLE AS y, (c_custkey % 61 - 30)::DOUBLE AS h FROM customer),
+  sg AS (SELECT line, id, x AS x1, y AS y1, x + 40 AS x2, y + h AS y2 FROM c0 UNION ALL SELECT line + 1000, id, x + 20, y + h / 2, x + 20, y + h / 2 + 15 FROM c0 WHERE id % 10 = 0 UNION ALL SELECT line + 1000, id, x + 10, y + h / 4, x + 30, y + 3 * h / 4 FROM c0 WHERE id % 10 = 1),
+  pr AS (SELECT a.line AS a, b.line AS b, a.x1, a.y1, a.x2, a.y2, b.x1 AS x3, b.y1 AS y3, b.x2 AS x4, b.y2 AS y4, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS det, (a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1) AS off FROM sg a JOIN sg b ON a.line < b.line OR a.line = b.line AND a.id < b.id),
+  tu AS (SELECT *, ((x3 - x1) * (y4 - y3) - (y3 - y1) * (x4 - x3)) / det AS t, ((x3 - x1) * (y2 - y1) - (y3 - y1) * (x2 - x1)) / det AS u FROM pr WHERE det <> 0),
+  ov AS (SELECT *, CASE WHEN x1 <> x2 THEN (x3 - x1) / (x2 - x1) ELSE (y3 - y1) / (y2 - y1) END AS t3, CASE WHEN x1 <> x2 THEN (x4 - x1) / (x2 - x1) ELSE (y4 - y1) / (y2 - y1) END AS t4 FROM pr WHERE det = 0 AND off = 0),
+  pt AS (SELECT a, b, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y FROM tu WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1
+    UNION ALL SELECT a, b, x1 + e * (x2 - x1), y1 + e * (y2 - y1) FROM (SELECT *, unnest([greatest(0, least(t3, t4)), least(1, greatest(t3, t4))]) AS e FROM ov WHERE greatest(0, least(t3, t4)) <= least(1, greatest(t3, t4))))"""
+
+
+@query("g07_intersection_points", f"{MEETING} SELECT a, b, count(*) AS n, round(sum(x), 3) AS x, round(sum(y), 3) AS y FROM (SELECT DISTINCT a, b, round(x, 6) AS x, round(y, 6) AS y FROM pt) GROUP BY a, b")
+def _(t):
+    c = F.col
+    at = t.customer.select(c("c_nationkey").alias("line_id"), c("c_custkey").alias("id"), ((c("c_custkey") * 37) % 1009).cast("double").alias("x"), ((c("c_custkey") * 101) % 997).cast("double").alias("y"), (c("c_custkey") % 61 - 30).cast("double").alias("h"))
+    whole = at.select("line_id", c("id").alias("seg"), c("x").alias("x1"), c("y").alias("y1"), (c("x") + 40).alias("x2"), (c("y") + c("h")).alias("y2"))
+    branch = at.where("id % 10 = 0").select(c("line_id") + 1000, "id", c("x") + 20, c("y") + c("h") / 2, c("x") + 20, c("y") + c("h") / 2 + 15)
+    part = at.where("id % 10 = 1").select(c("line_id") + 1000, "id", c("x") + 10, c("y") + c("h") / 4, c("x") + 30, c("y") + c("h") * 3 / 4)
+    found = L.intersection_points(whole.union(branch).union(part), 50.0)
+    return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 3).alias("x"), F.round(F.sum("y"), 3).alias("y"))
+
+
 @query("g18_bounds", f"WITH {V} SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM l")
 def _(t):
     p = t.lines().select(F.explode("coords").alias("p"))

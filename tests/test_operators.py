@@ -188,3 +188,14 @@ def test_share_of_length_between_far_vertices(spark):
     unmarked = spark.createDataFrame([(0.0, 505.0, 5.0, 505.0), (0.0, 0.0, 1000.0, 0.0)], mark)
     found = {r.id: r.waymarked for r in L.waymarked(segs, marked, unmarked, 10.0).collect()}
     assert found == {1: "marked", 2: "unmarked", 3: "unknown", 4: "unmarked", 5: None}
+
+
+def test_intersection_points(spark):
+    lines = {
+        1: [(0, 0), (10, 0), (20, 10)], 2: [(5, 0), (5, 8)], 3: [(10, -5), (10, 5)], 4: [(2, 0), (8, 0)], 5: [(20, 10), (30, 10)],
+        6: [(100, 0), (110, 10), (110, 0), (100, 10)], 7: [(200, 0), (210, 0), (205, 0)], 8: [(300, 0), (310, 0), (305, 9), (300, 0)], 9: [(400, 0), (401, 0), (402, 0)], 10: [(100.5, -10), (100.5, 99)],
+    }
+    found = L.intersection_points(L.segments(lines_of(spark, lines).withColumnRenamed("id", "line_id"), ["line_id"]), 7.0).collect()
+    points = sorted((r.a, r.b, r.x, r.y) for r in found)
+    crossing = [(6, 10, 100.5, 0.5), (6, 10, 100.5, 9.5)]
+    assert points == sorted([(1, 2, 5, 0), (1, 3, 10, 0), (1, 4, 2, 0), (1, 4, 8, 0), (1, 5, 20, 10), (2, 4, 5, 0), (6, 6, 105, 5), (7, 7, 205, 0), (7, 7, 210, 0), *crossing])
