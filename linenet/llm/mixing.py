@@ -3,7 +3,8 @@
 Targets: sources in code-point order (null last) weigh 1, 2, 3, repeating, and share the budget; none gets more
 than `MOST` times its own words, the excess goes to the others by weight. A source's documents fall into blocks by
 hash. Whole passes over the source come first; the rest of the target takes its blocks in a permuted order, and the
-block where the target is met is cut at documents, within one small document of it. Every (block, pass) is one draw. A tree splits the draws among
+block where the target is met is cut at documents. What it still lacks then is taken from the documents that fit of the
+blocks after it, in the same order, until less is lacking than any document left has. Every (block, pass) is one draw. A tree splits the draws among
 the output shards: at each node a keyed permutation ranks them and the left half takes its exact share of ranks, so
 the counts by source are a multivariate-hypergeometric draw and no draw is taken twice. Each shard shuffles locally.
 
@@ -103,6 +104,7 @@ class Mix:
         order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(self.seed + 101), "source_no", "block"), "block")
         upto = F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))
         ranked = sized.withColumn("upto", upto).withColumn("need", F.col("rest") - (F.col("upto") - F.col("words")))
+        ranked = ranked.withColumn("place", F.row_number().over(order))
         ranked = materialize(ranked.withColumn("whole", F.col("need") >= F.col("words")).withColumn("partly", ~F.col("whole") & (F.col("need") > 0)), "mix-ranked")
         edge = ranked.where("partly").select("source_no", "block", "need")  # one block per source
         left = rows.select("source_no", "block", "h", "size").join(F.broadcast(edge) if edge.count() <= BROADCAST_ROWS else edge, ["source_no", "block"])
@@ -115,11 +117,53 @@ class Mix:
             plan = plan.join(cut.drop("got"), block, "left")
             left = left.join(cut, block, "left").where(~F.coalesce((F.col("size") <= F.col("need")) & (F.col("h") <= F.col(f"cut{k}")), F.lit(False)))
             left = left.select(*block, "h", "size", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"))
-        plan = plan.withColumn("draws", F.col("passes") + (F.col("whole") | F.coalesce(*[F.col(f"cut{k}") for k in range(ROUNDS)]).isNotNull()).cast("int"))
+        plan = plan.join(self._carry(rows, ranked, materialize(left, "mix-edge")), block, "left")
+        plan = plan.withColumn("draws", F.col("passes") + (F.col("whole") | F.coalesce(*[F.col(f"cut{k}") for k in range(ROUNDS)]).isNotNull() | F.col("carried").isNotNull()).cast("int"))
         each = plan.where("draws > 0").select("source_no", "block", F.explode(F.sequence(F.lit(1), F.col("draws"))).alias("pass"))
         split = split_tree(each, ["source_no", "block", "pass"], self.shards, self.seed)
         homes = split.groupBy("source_no", "block").agg(F.sort_array(F.collect_list(F.struct("pass", "shard"))).getField("shard").alias("homes"))
-        return plan.join(homes, ["source_no", "block"], "left").select("source_no", "block", "passes", "whole", *[f"{c}{k}" for c in ("cut", "need") for k in range(ROUNDS)], F.coalesce("homes", F.array().cast("array<int>")).alias("homes"))
+        return plan.join(homes, ["source_no", "block"], "left").select("source_no", "block", "passes", "whole", "place", "carried", *[f"{c}{k}" for c in ("cut", "need") for k in range(ROUNDS)], F.coalesce("homes", F.array().cast("array<int>")).alias("homes"))
+
+    @staticmethod
+    def _carried(step: Column) -> Column:
+        """Whether a row (place, h, size) is of those that a step of _carry took."""
+        at = F.struct("place", "h")
+        return (at > step["start"]) & (at <= step["cut"]) & (F.col("size") <= step["need"])
+
+    def _carry(self, rows: DataFrame, ranked: DataFrame, left: DataFrame) -> DataFrame:
+        """What the edge blocks (left: their documents not taken, and need) still lack, from the documents that fit in the
+        order of blocks and hashes. A step takes whole blocks and the next one up to its first document that does not fit,
+        which is passed over for good; then the same after it. source_no, block, carried (the source's steps) for blocks taken from."""
+        edge = ranked.where("partly").select("source_no", F.col("place").alias("edge"))
+        short = materialize(left.groupBy("source_no").agg(F.first("need").alias("need")).where("need >= 1").join(edge, "source_no"), "mix-short")
+        far = rows.select("source_no", "block", "h", "size").join(ranked.select("source_no", "block", "place"), ["source_no", "block"]).join(short, "source_no").where("place > edge")
+        near = left.drop("need").join(short, "source_no").withColumn("place", F.col("edge"))
+        columns = ["source_no", "block", "place", "h", "size", "need"]
+        begin, last_hash = F.struct(F.lit(-1).alias("place"), F.lit(-(2**63)).alias("h")), F.lit(2**63 - 1)
+        asked = materialize(far.select(*columns).unionByName(near.select(*columns)).where("size > 0 AND size <= need"), "mix-asked")
+        todo, steps = asked.withColumn("start", begin), None
+        while not todo.isEmpty():
+            sized = todo.groupBy("source_no", "place").agg(F.sum("size").alias("words"), F.first("need").alias("need"), F.first("start").alias("start"))
+            sized = sized.withColumn("upto", F.sum("words").over(Window.partitionBy("source_no").orderBy("place")))
+            met = F.min(F.when(F.col("upto") > F.col("need"), F.struct("place", (F.col("upto") - F.col("words")).alias("before")))).alias("met")
+            step = materialize(sized.groupBy("source_no").agg(F.first("need").alias("need"), F.first("start").alias("start"), met, F.max("place").alias("last"), F.max("upto").alias("all")), "mix-step")
+            cut = todo.select("source_no", "place", "h", "size").join(step.where("met IS NOT NULL").select("source_no", "need", "met.place", "met.before"), ["source_no", "place"])
+            cut = cut.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source_no", "place").orderBy("h")))
+            fits = F.col("upto") <= F.col("need")
+            cut = cut.groupBy("source_no").agg(F.max(F.when(fits, F.col("h"))).alias("cut_h"), F.min(F.when(~fits, F.col("h"))).alias("stop_h"), F.max(F.when(fits, F.col("upto"))).alias("got"))
+            upto = F.when(F.col("met").isNull(), F.struct(F.col("last").alias("place"), last_hash.alias("h"))).when(F.col("cut_h").isNull(), F.struct((F.col("met.place") - 1).alias("place"), last_hash.alias("h"))).otherwise(F.struct(F.col("met.place").alias("place"), F.col("cut_h").alias("h")))
+            stop = F.when(F.col("met").isNotNull(), F.struct(F.col("met.place").alias("place"), F.col("stop_h").alias("h")))
+            done = step.join(cut, "source_no", "left").select("source_no", "need", "start", upto.alias("cut"), stop.alias("stop"), (F.col("need") - F.coalesce("got", "met.before", "all")).alias("lacks"))
+            done = materialize(done, "mix-step")
+            own = done.select("source_no", F.struct("start", "cut", "need").alias("step"))
+            steps = own if steps is None else materialize(steps.unionByName(own), "mix-steps")
+            after = done.where("stop IS NOT NULL").select("source_no", F.col("stop").alias("start"), F.col("lacks").alias("need"))
+            todo = materialize(todo.drop("start", "need").join(after, "source_no").where((F.struct("place", "h") > F.col("start")) & (F.col("size") <= F.col("need"))), "mix-todo")
+        if steps is None:
+            point = "struct<place: int, h: bigint>"
+            return ranked.select("source_no", "block", F.lit(None).cast(f"array<struct<start: {point}, cut: {point}, need: double>>").alias("carried")).limit(0)
+        carried = steps.groupBy("source_no").agg(F.collect_list("step").alias("carried"))
+        return asked.drop("need").join(carried, "source_no").where(F.exists("carried", self._carried)).groupBy("source_no", "block").agg(F.first("carried").alias("carried"))
 
     def quotas(self) -> DataFrame:
         """The tree's leaves: shard, source_no, blocks."""
@@ -130,6 +174,7 @@ class Mix:
         extra = F.col("whole")
         for k in range(ROUNDS):
             extra = extra | F.coalesce((F.col("size") <= F.col(f"need{k}")) & (F.col("h") <= F.col(f"cut{k}")), F.lit(False))
+        extra = extra | F.coalesce(F.exists("carried", self._carried), F.lit(False))
         copies = F.col("passes") + extra.cast("int")
         return self._in_blocks(rows).drop("passes").join(plan, ["source_no", "block"]).withColumn("copies", copies).withColumn("homes", F.slice("homes", F.lit(1), F.col("copies")))
 

@@ -100,3 +100,16 @@ def test_mix(spark, sf, rows, empty):
     assert again == {r.doc_id: r.taken for r in found}
     assert mixing.Mix(rows).taken().count() == len(ROWS) and mixing.Mix(rows).rows_of().columns == rows.columns
     assert mixing.Mix(empty).taken().count() == mixing.Mix(empty).rows_of().count() == 0
+
+
+def test_mix_carries_what_a_long_document_leaves(spark):
+    sizes = {0: 200_000} | {i: 15 + i % 21 for i in range(1, 2001)}
+    docs = spark.createDataFrame([(i, "w " * n, "a") for i, n in sizes.items()], "doc_id long, text string, source string")
+    small = sum(sizes.values()) - sizes[0]
+    for budget in (0.6, 0.16, 0.1613):
+        mix = mixing.Mix(docs, budget=budget)
+        found = mix.taken().collect()
+        want, taken = min(small, budget * sum(sizes.values())), sum(r.taken for r in found)
+        assert want - 15 < taken <= want + 1e-6 and not any(r.copies for r in found if r.doc_id == 0)
+        assert all(len(r.shards) == r.copies for r in found)
+        assert collections.Counter(r.doc_id for r in mix.rows_of().collect()) == collections.Counter({r.doc_id: 1 for r in found if r.copies})
