@@ -2,58 +2,18 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
+import ctypes
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linenet.tables import discard, fresh_path, settled, shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (where unset, as in tests) one made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linenet-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/linenet/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage is cut, and a lost executor loses nothing of it.
-
-    Shuffle files of the job are garbage then; collecting the driver's garbage lets Spark delete them at once.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del df
-    free_shuffles(spark)
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df, once nothing still reads it."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file.rpartition("/")[0])
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def free_shuffles(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+shared_dir, materialize = shared_folder, settled
 
 
 def quoted(name: str) -> Column:
@@ -76,6 +36,24 @@ def sliced(batches, rows: int = 500):
             yield batch.slice(i, rows)
 
 
+def lean(run):
+    """An Arrow function that gives memory back to the system when its task ends, as workers live on for later tasks."""
+
+    def released(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library keeps its own counsel
+                pass
+
+    return released
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

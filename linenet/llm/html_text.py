@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linenet.llm.common import quoted
+from linenet.llm.common import lean, quoted
 
 # HTML element names, class-name words of page furniture, and common short words of four languages.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -189,4 +189,4 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", page: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([main_text(x) for x in batch.column(2).to_pylist()], pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(quoted(ident).cast("long").alias("page_id"), quoted(url).cast("string").alias("url"), quoted(page).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return rows.mapInArrow(lean(run), "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

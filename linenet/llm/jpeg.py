@@ -20,7 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from linenet.llm.common import quoted
+from linenet.llm.common import lean, quoted
 
 UNIT = 64
 CLASS = 8
@@ -313,7 +313,7 @@ def store(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFra
                 at += len(group)
 
     rows = docs.select(quoted(ident).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -341,4 +341,4 @@ def features(media: DataFrame) -> DataFrame:
         kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "width": pa.int32(), "height": pa.int32()}
         return pa.schema(list(kinds.items()))
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int")
+    return media.mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int")

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linenet.llm.common import quoted, sliced
+from linenet.llm.common import lean, quoted, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, SAMPLES = 11, 2
@@ -434,7 +434,7 @@ def encode(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int =
 
     rows = docs.select(quoted(ident).cast("long").alias("doc_id"), quoted(text).cast("string").alias("text"), F.xxhash64(F.lit(seed), quoted(ident)).alias("seed"))
     schema = "doc_id long, draw int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long, decoded boolean" + (", ids array<int>" if with_ids else "")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
