@@ -3,11 +3,12 @@
 A linear numpy classifier is fitted from confirmed toxic texts (P) and unlabelled ones (U) with the class-prior
 corrected, non-negative risk  prior * R_P(+) + max(0, R_U(-) - prior * R_P(-))  under the sigmoid loss. Features are the
 presence of character n-grams of words (with word edges), chosen by how much more of P than of U has them. The sample
-is bounded (`MOST_POSITIVE`, `MOST_UNLABELLED` texts, least hash first); every whole text is scored, by one scan of
+is bounded (`most_positive`, `most_unlabelled` of `fit`, least hash first); every whole text is scored, by one scan of
 the text for the chosen n-grams.
 
-Cases: null and empty texts get the score of a text without any n-gram; a doc_id that is null is never sampled;
-repeated rows score alike; without any confirmed toxic row all scores are 0; an empty table gives an empty table;
+Cases: null and empty texts get the score of a text without any n-gram; very long texts are scanned whole; a doc_id that
+is null is never sampled; repeated rows (and ties, which are equal texts) score alike; without any confirmed toxic row
+all scores are 0; an empty table gives an empty table; other columns are carried, whatever their names (`score`, `row`);
 labels of held-out rows are never read; labels, lang, source and doc_id are no inputs of a score.
 """
 
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linenet.llm.common import materialize, quoted, unpack, whole_row
+from linenet.llm.common import lean, materialize, quoted, sliced, unpack
 
 MOST_POSITIVE, MOST_UNLABELLED = 2_000, 4_000
 FOLDS = 5
@@ -56,7 +57,11 @@ def held_out(ident: Column) -> Column:
 
 @dataclass
 class Model:
+    """n-grams with the column (their bucket's) of each, and the columns' weights. A column counts once for a text, however
+    many n-grams of its bucket the text has, as in fitting."""
+
     grams: list[str] = field(default_factory=list)
+    columns: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -np.inf
 
@@ -65,8 +70,8 @@ class Model:
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for i, g in enumerate(self.grams):
-            automaton.add_word(g, i)
+        for c, g in zip(self.columns.tolist(), self.grams, strict=True):
+            automaton.add_word(g, c)
         if self.grams:
             automaton.make_automaton()
         weights, bias = self.weights, self.bias
@@ -109,24 +114,8 @@ def fit_nnpu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = STEPS,
     return theta[:d], float(theta[d])
 
 
-def choose(p_sets: list[np.ndarray], u_sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets with the most information on P against U, and the logarithm of their ratio."""
-    size = 1 << BITS
-    p, u = np.zeros(size), np.zeros(size)
-    for total, sets in ((p, p_sets), (u, u_sets)):
-        for s in sets:
-            total[s] += 1
-    rate_p, rate_u = p / max(1, len(p_sets)), (u + 0.5) / (len(u_sets) + 1)
-    ratio = np.log(np.maximum(rate_p, 1e-12) / rate_u)
-    gain = np.where((p >= max(2, 0.002 * len(p_sets))) & (ratio > np.log(2)), rate_p * ratio, 0)
-    best = np.argsort(-gain, kind="stable")[:FEATURES]
-    best = best[gain[best] > 0]
-    return best, ratio[best]
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", prior: float | None = None) -> Model:
-    """Learns from labels of rows that aren't held out, and from a bounded sample of texts. prior: by default the share
-    of toxic rows among the labelled ones."""
+def _sample(docs: DataFrame, labels: DataFrame, text: str, ident: str, prior: float | None, most_positive: int, most_unlabelled: int) -> tuple[DataFrame | None, float]:
+    """The texts to learn from (text, in_p, in_u: whether a confirmed toxic or an unlabelled row has it) and the prior."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -134,77 +123,109 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "do
         prior = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     order = F.xxhash64(F.lit(7), "doc_id")
     ids = quoted(ident).cast("long").alias("doc_id")
-    positive = [r.doc_id for r in known.where("toxic = 1").orderBy(order, "doc_id").limit(MOST_POSITIVE).collect()]
+    positive = [r.doc_id for r in known.where("toxic = 1").orderBy(order, "doc_id").limit(most_positive).collect()]
     if not positive or not prior:
-        return Model()
-    unlabelled = [r.doc_id for r in docs.select(ids).where(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(MOST_UNLABELLED).collect()]
+        return None, 0.0
+    unlabelled = [r.doc_id for r in docs.select(ids).where(~held_out(F.col("doc_id"))).orderBy(order, "doc_id").limit(most_unlabelled).collect()]
     roles = {i: 2 for i in unlabelled}
     for i in positive:
         roles[i] = roles.get(i, 0) | 1
     sample = F.broadcast(spark.createDataFrame(sorted(roles.items()), "doc_id long, role int"))  # bounded above
-    rows = materialize(docs.select(ids, quoted(text).cast("string").alias("text")).join(sample, "doc_id"), "toxic-sample")
-
-    def features(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [np.unique(np.fromiter((bucket(g) for g in grams_of(words_of(t))), np.int32)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("role"), batch.column("mark"), pa.array(sets, pa.binary())], names=["role", "mark", "grams"])
+    rows = docs.select(ids, quoted(text).cast("string").alias("text")).join(sample, "doc_id")
+    once = rows.groupBy(F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text"), F.bit_or("role").alias("role"))  # copies of a text count once
+    return materialize(once.select("text", ((F.col("role") % 2) == 1).alias("in_p"), (F.col("role") >= 2).alias("in_u")), "toxic-sample"), prior
 
-    marked = rows.select("role", F.xxhash64("text").alias("mark"), "text").mapInArrow(features, "role int, mark long, grams binary")
-    sets = [(r.role, r.mark, r.grams) for r in marked.toLocalIterator()]
-    if not any(role & 1 for role, _, _ in sets):
-        return Model()
-    p_sets, u_sets = ([np.frombuffer(b, np.int32) for _, b in sorted({mark: b for role, mark, b in sets if role & bit}.items())] for bit in (1, 2))  # copies of a text count once
-    best, ratio = choose(p_sets, u_sets)
-    column = np.full(1 << BITS, -1, np.int32)
-    column[best] = np.arange(len(best))
-
-    def matrix(of):
-        x = np.zeros((len(of), len(best)), np.float32)
-        for i, s in enumerate(of):
-            c = column[s]
-            x[i, c[c >= 0]] = 1
-        return x
 
-    weights, bias = fit_nnpu(matrix(p_sets), matrix(u_sets), prior, start=ratio * 0.05)
+def _columns(rows: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The buckets with the most information on P against U, FEATURES at most, and the logarithm of their ratio."""
 
-    def names(batches):
+    def buckets(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            grams = sorted({(int(column[b]), g) for t in batch.column("text").to_pylist() for g in grams_of(words_of(t)) if column[b := bucket(g)] >= 0})
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in grams], pa.int32()), pa.array([g for _, g in grams], pa.string())], names=["column", "gram"])
-
-    named = rows.where("role IN (1, 3)").select("text").mapInArrow(names, "column int, gram string").distinct().collect()
-    named = sorted((r.gram, r["column"]) for r in named)
-    return Model([g for g, _ in named], np.array([weights[c] for _, c in named]), bias)
+        for batch in sliced(batches, 50):
+            sets = [sorted({bucket(g) for g in grams_of(words_of(t))}) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("in_p"), batch.column("in_u"), pa.array(sets, pa.list_(pa.int32()))], names=["in_p", "in_u", "buckets"])
+
+    n_p, n_u = rows.agg(F.count_if("in_p"), F.count_if("in_u")).first()
+    found = rows.mapInArrow(lean(buckets), "in_p boolean, in_u boolean, buckets array<int>").select("in_p", "in_u", F.explode("buckets").alias("bucket"))
+    seen = found.groupBy("bucket").agg(F.count_if("in_p").alias("p"), F.count_if("in_u").alias("u"))
+    rate = F.col("p") / max(1, n_p)
+    ratio = F.log(rate / ((F.col("u") + 0.5) / (n_u + 1)))
+    best = seen.where(F.col("p") >= max(2, 0.002 * n_p)).withColumn("ratio", ratio).withColumn("gain", rate * F.col("ratio"))
+    best = best.where(F.col("ratio") > float(np.log(2))).orderBy(F.col("gain").desc(), "bucket").limit(FEATURES).collect()
+    return [r.bucket for r in best], np.array([r.ratio for r in best])
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", prior: float | None = None, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
+    """Learns from labels of rows that aren't held out, and from a sample of at most `most_positive` confirmed toxic and
+    `most_unlabelled` other rows. prior: by default the share of toxic rows among the labelled ones. The driver gets the
+    sample's rows as FEATURES bits each, and no texts."""
+    rows, prior = _sample(docs, labels, text, ident, prior, most_positive, most_unlabelled)
+    if rows is None or rows.where("in_p").isEmpty():
+        return Model()
+    best, ratio = _columns(rows)
+    column = {b: i for i, b in enumerate(best)}
 
+    def bits(batches):
+        import pyarrow as pa
 
-def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs as they are, in a struct `row`, with `score`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES n-grams or a few more
+        for batch in sliced(batches, 50):
+            out, named = [], set()
+            for t in batch.column("text").to_pylist():
+                own = np.zeros(FEATURES, bool)
+                for g in grams_of(words_of(t)):
+                    if (c := column.get(bucket(g))) is not None:
+                        own[c] = True
+                        named.add((c, g))
+                out.append(np.packbits(own).tobytes())
+            grams = [sorted(named) if i == 0 else [] for i in range(len(out))]
+            kind = pa.list_(pa.struct([("column", pa.int32()), ("gram", pa.string())]))
+            grams = [[{"column": c, "gram": g} for c, g in x] for x in grams]
+            yield pa.RecordBatch.from_arrays([batch.column("in_p"), batch.column("in_u"), pa.array(out, pa.binary()), pa.array(grams, kind)], names=["in_p", "in_u", "bits", "grams"])
+
+    seen = materialize(rows.mapInArrow(lean(bits), "in_p boolean, in_u boolean, bits binary, grams array<struct<column:int,gram:string>>"), "toxic-bits")
+
+    def matrix(role):
+        got = sorted(bytes(r.bits) for r in seen.where(role).select("bits").collect())  # sorted: sums in one order, so reruns agree
+        return np.unpackbits(np.frombuffer(b"".join(got), np.uint8)).reshape(-1, FEATURES)[:, : len(best)].astype(np.float32)
+
+    weights, bias = fit_nnpu(matrix("in_p"), matrix("in_u"), prior, start=ratio * 0.05)
+    named = sorted((r.gram, r["column"]) for r in seen.select(F.explode("grams").alias("g")).select("g.gram", "g.column").distinct().collect())
+    return Model([g for g, _ in named], np.array([c for _, c in named], np.int64), weights, bias)
+
+
+def scores(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, below: float = np.inf) -> DataFrame:
+    """The columns `keep` of docs (all by default) in a struct `row`, with `score`, for rows that score less than `below`."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES buckets' n-grams
+    keep = docs.columns if keep is None else keep
+    named = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row")
+    inside = keep.index(text) if text in keep and docs.schema[text].dataType.simpleString() == "string" else None  # the row's own text, sent once
+    rows = docs.select(named) if inside is not None else docs.select(named, quoted(text).cast("string").alias("text"))
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         score = shared.value.scorer()
-        for batch in batches:
-            found = [score(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.float64())], names=["row", "score"])
+        for batch in sliced(batches, 200):
+            row = batch.column("row")
+            texts = row.field(f"c{inside}") if inside is not None else batch.column("text")
+            found = pa.array([score(t.as_py()) for t in texts], pa.float64())
+            out = pa.RecordBatch.from_arrays([row, found], names=["row", "score"])
+            yield out if below == np.inf else out.filter(pc.less(found, below))
 
-    rows = docs.select(whole_row(docs), quoted(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, rows.select("row", F.lit(0.0).alias("score")).schema)
+    found = rows.mapInArrow(lean(run), rows.select("row", F.lit(0.0).alias("score")).schema)
+    return found.select(F.struct(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(keep)]).alias("row"), "score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
     narrow = docs.select(quoted(ident).alias("doc_id"), quoted(text).alias("text"))
-    found = scores(narrow.select("doc_id", "text"), fit(docs, labels, text, ident))
+    found = scores(narrow, fit(docs, labels, text, ident), keep=["doc_id"])
     ids = F.col("row").getField("doc_id")
     return found.select(ids.alias("doc_id"), held_out(ids).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """The rows of docs whose score is under 0.5."""
-    return unpack(scores(docs, fit(docs, labels, text, ident), text).where("score < 0.5"), docs.columns)
+    return unpack(scores(docs, fit(docs, labels, text, ident), text, below=0.5), docs.columns)
