@@ -13,7 +13,8 @@ order that all documents share gives the same links), so its tables are bounded
 
 Cases: words are as the contract has them; with fewer words than a shingle the whole sequence is one shingle; a null,
 empty or blank text has the empty set, no links, and its own doc_id as component; a null doc_id is never the smallest;
-repeated rows are linked; an empty table gives an empty table; other columns are carried or not read. Token and class
+very long texts are read whole (a group of texts is cut after GROUP_BYTES, not a text); repeated rows and ties are
+linked; an empty table gives an empty table; other columns are carried or not read, whatever their names. Token and class
 hashes have 64 bits.
 """
 
@@ -25,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linenet.llm.common import discard, materialize, quoted, sliced, unpack, whole_row
+from linenet.llm.common import discard, lean, materialize, quoted, sliced, unpack, whole_row
 from linenet.llm.components import components
 from linenet.llm.suffix import GROUP_BYTES, Hashes, U, mix
 
@@ -38,8 +39,9 @@ FREQUENT = 1 << 17
 SEEN = 2
 BATCH = 2000
 WORDS_KNOWN = 1 << 16
-BITMAP_BITS = 22
-PARITIES = 2048
+ASKERS = 1 << 14
+BROADCAST_ROWS, BITMAP_ROWS = 200_000, 4_000_000
+SLICE = 50
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -124,10 +126,44 @@ def group_keys(tokens: np.ndarray) -> list[int]:
     return keys
 
 
-def parities(tokens: np.ndarray) -> list[int]:
-    """For each of PARITIES classes of tokens whether the set has an odd number: sets differ in as many of these at most as they differ in tokens."""
-    odd = np.bincount((tokens >> U(20)).astype(np.int64) % PARITIES, minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+def parities(tokens: np.ndarray) -> bytes:
+    """For each of as many classes of tokens as there are tokens (a power of 2) whether the set has an odd number of them.
+    Two sets differ in at most as many of these as they differ in tokens."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount((tokens >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Parities (rows of 64-bit words) over fewer classes: halves of the classes meet."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+class Resemblance:
+    """The parities of a group's members, by their number of classes."""
+
+    def __init__(self, members: list[tuple[int, bytes]]):
+        by_words: dict[int, list] = {}
+        for at, (n, bits) in enumerate(members):
+            by_words.setdefault(len(bits) // 8, []).append((at, n, bits))
+        self._parts = []
+        for of in by_words.values():
+            at, n, bits = zip(*of, strict=True)
+            self._parts.append((np.array(at), np.array(n), np.frombuffer(b"".join(bits), np.uint64).reshape(len(of), -1)))
+
+    def of(self, n: int, bits: bytes) -> np.ndarray:
+        """The members that may link to a set of n tokens: sets that link differ in a ninth of their tokens at most."""
+        own, out = np.frombuffer(bits, np.uint64), []
+        for at, sizes, theirs in self._parts:
+            words = min(theirs.shape[1], len(own))
+            differ = np.bitwise_count(folded(theirs, words) ^ folded(own, words)).sum(axis=1, dtype=np.int64)
+            near = (NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (sizes + n)
+            near &= (DENOMINATOR * sizes >= NUMERATOR * n) & (DENOMINATOR * n >= NUMERATOR * sizes)
+            out.append(at[near])
+        return np.sort(np.concatenate(out))
 
 
 class GroupRow:
@@ -178,7 +214,7 @@ def link_inside(sets: list[np.ndarray], first: list[int]) -> list[int]:
 
 
 COUNTS = "array<struct<token:long,seen:long>>"
-PROFILE = f"doc_id long, tid long, n long, class long, keys array<long>, bits array<long>, frequent {COUNTS}, words {COUNTS}"
+PROFILE = f"doc_id long, tid long, n long, class long, keys array<long>, bits binary, frequent {COUNTS}, words {COUNTS}"
 
 
 def most_seen(values: np.ndarray, least: int, most: int) -> list[dict]:
@@ -196,7 +232,7 @@ def _profiles(rows: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         counts = pa.list_(pa.struct([("token", pa.int64()), ("seen", pa.int64())]))
-        kinds = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("frequent", counts), ("words", counts)])
+        kinds = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary()), ("frequent", counts), ("words", counts)])
         for batch in sliced(batches, BATCH):
             ids, tids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out, kept, known, words = [], [], {}, []
@@ -204,7 +240,7 @@ def _profiles(rows: DataFrame) -> DataFrame:
                 for i, s in enumerate(sets, begin):
                     name = class_of(s)
                     if name not in known:
-                        known[name] = (group_keys(s), parities(s)) if len(s) else ([], [])
+                        known[name] = (group_keys(s), parities(s)) if len(s) else ([], b"")
                         kept.append(s)
                     out.append({"doc_id": ids[i], "tid": tids[i], "n": len(s), "class": name, "keys": known[name][0], "bits": known[name][1], "frequent": None, "words": None})
             if kept:
@@ -212,43 +248,52 @@ def _profiles(rows: DataFrame) -> DataFrame:
                 out[0]["words"] = most_seen(np.concatenate(words), 2, WORDS_KNOWN // 4)
             yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return rows.mapInArrow(run, PROFILE)
+    return rows.mapInArrow(lean(run), PROFILE)
 
 
-def _perhaps(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose tid may be among w_tid: those not in a bitmap (of a fixed size, whatever the input) needn't be shuffled."""
-    place = F.shiftrightunsigned("w_tid", 64 - BITMAP_BITS)
-    words = wanted.select((F.shiftright(place, 6)).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(w_tid, {64 - BITMAP_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
-    for r in words.toLocalIterator():  # as many rows as the bitmap has words, at most
-        bitmap[r.word] = r.bits
-    shared = rows.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
+def _chosen(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rows joined with wanted (w_id, w_tid, ...) by identifier and text hash. Up to BROADCAST_ROWS wanted rows and
+    seats are broadcast; up to BITMAP_ROWS, a bitmap of 16 bits for each (broadcast too, so of bounded size) first keeps most other
+    rows from being shuffled; beyond, Spark shuffles both sides."""
+    same = (F.col("tid") == F.col("w_tid")) & F.col("doc_id").eqNullSafe(F.col("w_id"))
+    n = wanted.agg(F.coalesce(F.sum(F.size("seats") + 1), F.lit(0))).first()[0]
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), same)
+    if n <= BITMAP_ROWS:
+        bits = (16 * n - 1).bit_length()
+        place = F.shiftrightunsigned("w_tid", 64 - bits)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(w_tid, {64 - bits}) & 63 as int))")
+        words = wanted.select(F.shiftright(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+        inside = F.expr(f"bits & shiftleft(1L, cast(shiftrightunsigned(tid, {64 - bits}) & 63 as int))") != 0
+        rows = rows.join(F.broadcast(words), F.shiftrightunsigned("tid", 64 - bits + 6) == F.col("word")).where(inside).drop("word", "bits")
+    return rows.join(wanted, same)
 
-    def run(batches):
-        import pyarrow as pa
-
-        bits = shared.value
-        for batch in batches:
-            tids = np.asarray(batch.column("tid")).view(np.uint64) >> U(64 - BITMAP_BITS)
-            yield batch.filter(pa.array(bits[tids.astype(np.int64)] > 0))
 
-    return rows.mapInArrow(run, rows.schema)
+SEAT = "grp long, part int, asks boolean, own boolean, pivot boolean, label long"
 
 
-def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, tokens (little-endian bytes) of each class in wanted (class, doc_id, tid), from the text of its representative."""
+def _seated(rows: DataFrame, reps: DataFrame, seats: DataFrame) -> DataFrame:
+    """seats: class and SEAT. Each seat with `tokens` (little-endian bytes) of its class, from the text of the class's
+    representative, in the order of groups; so texts of the classes seated and their tokens travel once."""
+    names = [c.split()[0] for c in SEAT.split(", ")]
+    wanted = seats.groupBy("class").agg(F.collect_list(F.struct(*names)).alias("seats")).join(reps, "class")
+    wanted = materialize(wanted.select("class", "seats", F.col("doc_id").alias("w_id"), F.col("tid").alias("w_tid")), "jaccard-wanted")
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in sliced(batches):
-            names = batch.column(0).to_pylist()
-            for begin, sets in sets_of(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(names[begin : begin + len(sets)], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "tokens"])
+        seat = {"grp": pa.int64(), "part": pa.int32(), "asks": pa.bool_(), "own": pa.bool_(), "pivot": pa.bool_(), "label": pa.int64()}
+        kinds = pa.schema([("class", pa.int64()), *seat.items(), ("tokens", pa.binary())])
+        for batch in sliced(batches, SLICE):
+            classes, texts, places = (batch.column(i).to_pylist() for i in range(3))
+            for begin, sets in sets_of(texts):
+                out = [{"class": classes[i], **at, "tokens": s.tobytes()} for i, s in enumerate(sets, begin) for at in places[i]]
+                for k in range(0, len(out), SLICE):
+                    yield pa.RecordBatch.from_pylist(out[k : k + SLICE], schema=kinds)
 
-    wanted = materialize(wanted.select("class", F.col("doc_id").alias("w_id"), F.col("tid").alias("w_tid")), "jaccard-wanted")
-    found = _perhaps(rows, wanted).join(wanted, (F.col("tid") == F.col("w_tid")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-    return found.select("class", "text").mapInArrow(run, "class long, tokens binary").dropDuplicates(["class"])
+    found = _chosen(rows, wanted).select("class", "text", "seats")
+    out = found.mapInArrow(lean(run), f"class long, {SEAT}, tokens binary")
+    return out.repartition("grp", "part").sortWithinPartitions("grp", "part", "asks", "class")
 
 
 def _groups(classes: DataFrame) -> DataFrame:
@@ -264,36 +309,40 @@ def _groups(classes: DataFrame) -> DataFrame:
     split = placed.where("parts > 1")
     pivots = split.withColumn("place", lowest).where(F.col("place") <= PIVOTS).select("class", "n", "key", F.col("part").alias("home"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     guests = pivots.where("part <> home").select("class", "n", "key", "part", "parts", F.xxhash64("key", "part").alias("grp"), F.lit(False).alias("own"))
-    first = pivots.select("class", "grp").distinct() if "grp" in pivots.columns else pivots.select(F.col("class").alias("p_class"), "part", "key").distinct()
+    first = pivots.select(F.col("class").alias("p_class"), "part", "key").distinct()
     everyone = own.unionByName(guests)
     joined = everyone.join(first.withColumnsRenamed({"part": "p_part", "key": "p_key"}), (F.col("class") == F.col("p_class")) & (F.col("key") == F.col("p_key")) & (F.col("part") == F.col("p_part")), "left")
     return joined.select("class", "n", "grp", "own", F.col("p_class").isNotNull().alias("pivot"))
 
 
 def _solve_inside(members: DataFrame) -> DataFrame:
-    """members: class, grp, own, pivot, tokens. class, label (the representative of its component inside the group), own."""
+    """members: as seated. class, label (the representative of its component inside the group), own."""
 
-    def solve(held, pa):
-        sets = [np.frombuffer(h[4], np.uint64) for h in held]
-        pivots = sorted((h[0], i) for i, h in enumerate(held) if h[3])
-        labels = link_inside(sets, [i for _, i in pivots])
-        rows = [{"class": h[0], "label": held[x][0], "own": h[2]} for h, x in zip(held, labels, strict=True)]
-        return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("class", pa.int64()), ("label", pa.int64()), ("own", pa.bool_())]))
+    def solve(names, sets, own, pivot, pa):
+        first = [i for _, i in sorted((names[i], i) for i in range(len(names)) if pivot[i])]
+        labels = [names[x] for x in link_inside(sets, first)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(labels, pa.int64()), pa.array(own, pa.bool_())], names=["class", "label", "own"])
 
     def run(batches):
         import pyarrow as pa
 
-        held = []
-        for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if held and r[1] != held[0][1]:
-                    yield solve(held, pa)
-                    held = []
-                held.append(r)
-        if held:
-            yield solve(held, pa)
+        group, names, sets, own, pivot = None, [], [], [], []
+        for batch in sliced(batches, SLICE):
+            for r in batch.select(["grp", "class", "own", "pivot", "tokens"]).to_pylist():
+                if r["grp"] != group:
+                    if names:
+                        yield solve(names, sets, own, pivot, pa)
+                    group, names, sets, own, pivot = r["grp"], [], [], [], []
+                if names and names[-1] == r["class"]:  # the representative's row stands twice in the input
+                    continue
+                names.append(r["class"])
+                sets.append(np.frombuffer(r["tokens"], np.uint64))
+                own.append(r["own"])
+                pivot.append(r["pivot"])
+        if names:
+            yield solve(names, sets, own, pivot, pa)
 
-    return members.select("class", "grp", "own", "pivot", "tokens").repartition("grp").sortWithinPartitions("grp", "class").mapInArrow(run, "class long, label long, own boolean")
+    return members.mapInArrow(lean(run), "class long, label long, own boolean")
 
 
 def _postings(rows: DataFrame, order) -> DataFrame:
@@ -322,102 +371,159 @@ def _postings(rows: DataFrame, order) -> DataFrame:
                     rests.append(len(s) - np.arange(len(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(names, pa.int64()), pa.array(np.concatenate(rests))], names=["token", "class", "rest"])
 
-    return rows.select("text").mapInArrow(run, "token long, class long, rest long")
+    return rows.select("text").mapInArrow(lean(run), "token long, class long, rest long")
 
 
 def _solve_between(members: DataFrame) -> DataFrame:
-    """members: grp, asks (whether the class asks or is a member), class, label, tokens. Links a, b: from a class that asks
-    to the label of each component of the group with a member that it links to, so as many as components, not members."""
+    """members: as seated. Links a, b: from a class that asks to the label of each component of the group with a member
+    that it links to, so as many as components, not members."""
 
     def run(batches):
         import pyarrow as pa
 
         kinds = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        group, names, sets, row = None, [], [], None
-        for batch in batches:
+        group, last, names, sets, row = None, None, [], [], None
+        for batch in sliced(batches, SLICE):
             out = []
-            for grp, asks, name, tokens, label in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if grp != group:
-                    group, names, sets, row = grp, [], [], None
-                own = np.frombuffer(tokens, np.uint64)
-                if not asks:
-                    names.append(label)
+            for r in batch.select(["grp", "part", "asks", "class", "label", "tokens"]).to_pylist():
+                if (r["grp"], r["part"]) != group:
+                    group, last, names, sets, row = (r["grp"], r["part"]), None, [], [], None
+                if last == (r["asks"], r["class"]):  # the representative's row stands twice in the input
+                    continue
+                last = (r["asks"], r["class"])
+                own = np.frombuffer(r["tokens"], np.uint64)
+                if not r["asks"]:
+                    names.append(r["label"])
                     sets.append(own)
                     continue
                 row = row or GroupRow(sets)
                 shared = row.shared(own)
                 if shared is not None:
-                    out += [{"a": name, "b": b} for b in sorted({names[j] for j in np.flatnonzero(linked(len(own), row.sizes, shared)).tolist()})]
+                    out += [{"a": r["class"], "b": b} for b in sorted({names[j] for j in np.flatnonzero(linked(len(own), row.sizes, shared)).tolist()})]
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
-    return members.select("grp", "asks", "class", "tokens", "label").repartition("grp").sortWithinPartitions("grp", "asks", "class").mapInArrow(run, "a long, b long")
+    return members.mapInArrow(lean(run), "a long, b long")
 
 
-def _resembling(asked: DataFrame, homes: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs class, grp of asked, but for groups of one member whose parities allow no link: sets that link differ in a
-    ninth of their tokens at most. Groups of several members are left to their union, so no pair of classes is made here."""
-    alone = homes.groupBy("grp").agg(F.count(F.lit(1)).alias("members"), F.min("class").alias("member"))
-    other = classes.select(F.col("class").alias("member"), F.col("n").alias("m"), F.col("bits").alias("theirs"))
-    pairs = asked.join(alone, "grp").join(classes, "class").join(other, "member")
-    differ = F.aggregate(F.zip_with("bits", "theirs", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda x, y: x + y)
-    return pairs.where((F.col("members") > 1) | ((NUMERATOR + DENOMINATOR) * differ <= (DENOMINATOR - NUMERATOR) * (F.col("n") + F.col("m")))).select("class", "grp")
+def _seats_between(asked: DataFrame, homes: DataFrame, classes: DataFrame) -> DataFrame:
+    """asked: class, grp. The seats (class, SEAT) that are worth tokens: parities go to the group first, and only askers
+    that some member resembles, and members that some asker resembles, are seated. Questions to one group are dealt to
+    parts of about ASKERS, each with the group's members."""
+    parts = asked.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("int").alias("parts"))
+    askers = asked.join(parts, "grp").select("grp", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"), "class", F.lit(None).cast("long").alias("label"))
+    members = homes.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"), "class", "label")
+    both = askers.unionByName(members).join(classes.select("class", "n", "bits"), "class")
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = pa.schema([("class", pa.int64()), ("grp", pa.int64()), ("part", pa.int32()), ("asks", pa.bool_()), ("label", pa.int64())])
+        group, held, near, wanted = None, [], None, set()
+
+        def seat(r):
+            return {k: r[k] for k in ("class", "grp", "part", "asks", "label")}
+
+        for batch in sliced(batches, 1000):
+            out = []
+            for r in batch.to_pylist():
+                if (r["grp"], r["part"]) != group:
+                    out += [seat(held[i]) for i in sorted(wanted)]
+                    group, held, near, wanted = (r["grp"], r["part"]), [], None, set()
+                if not r["asks"]:
+                    held.append(r)
+                    continue
+                near = near or Resemblance([(m["n"], m["bits"]) for m in held])
+                found = near.of(r["n"], r["bits"]).tolist()
+                wanted.update(found)
+                if found:
+                    out.append(seat(r))
+            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+        yield pa.RecordBatch.from_pylist([seat(held[i]) for i in sorted(wanted)], schema=kinds)
+
+    dealt = both.repartition("grp", "part").sortWithinPartitions("grp", "part", "asks", "class")
+    found = dealt.mapInArrow(lean(run), "class long, grp long, part int, asks boolean, label long")
+    return found.withColumn("own", ~F.col("asks")).withColumn("pivot", F.lit(False))
 
 
 def _most(profiles: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the values most seen over all documents."""
+    """Hashes (sorted) and counts of the values most seen over all documents, `most` of them at most: those over the least
+    bound on counts (an eighth of an octave each) that so few are over, so no task gathers more than the driver does."""
     seen = profiles.where(F.col(column).isNotNull()).select(F.explode(column).alias("f")).groupBy("f.token").agg(F.sum("f.seen").alias("seen"))
-    found = sorted((r.token & (2**64 - 1), r.seen) for r in seen.orderBy(F.col("seen").desc(), "token").limit(most).collect())
+    seen = materialize(seen.withColumn("octave", F.floor(F.log2("seen") * 8).cast("int")), "jaccard-seen")
+    bound, total = None, 0
+    for octave, n in sorted(((r.octave, r.n) for r in seen.groupBy("octave").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):  # 512 at most
+        total += n
+        if total > most:
+            break
+        bound = octave
+    found = [] if bound is None else sorted((r.token & (2**64 - 1), r.seen) for r in seen.where(F.col("octave") >= bound).collect())
     return np.array([t for t, _ in found], np.uint64), np.array([s for _, s in found], np.int64)
 
 
-def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFrame]:
-    """Profiles of all rows (doc_id, tid, n, class), and root by class for classes that link to others."""
-    spark = docs.sparkSession
-    whole = F.coalesce(quoted(text).cast("string"), F.lit(""))
-    rows = docs.select(quoted(ident).cast("long").alias("doc_id"), F.xxhash64(whole).alias("tid"), whole.alias("text"))
-    profiles = materialize(_profiles(rows), "jaccard-profiles")
+def _classes(profiles: DataFrame) -> DataFrame:
+    """class, n, keys, bits, and doc_id, tid of its representative: the row with the smallest doc_id."""
     ordered = F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("y"), F.col("tid").alias("z"))
-    classes = profiles.where("n > 0").groupBy("class").agg(F.min(ordered).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"))
-    classes = materialize(classes.select("class", "n", "keys", "bits", F.col("rep.y").alias("doc_id"), F.col("rep.z").alias("tid")), "jaccard-classes")
-    groups = materialize(_groups(classes), "jaccard-groups")
-    reps = classes.select("class", "doc_id", "tid")
-    sets = materialize(_fetch(rows, groups.where("own").select("class").join(reps, "class")), "jaccard-sets")
-    inside = materialize(_solve_inside(groups.join(sets, "class")), "jaccard-inside")
-    homes = groups.where("own").select("class", "grp").join(inside.where("own").select("class", "label"), "class")
+    classes = profiles.where("n > 0").groupBy("class").agg(F.min(ordered).alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.any_value("bits").alias("bits"))
+    return classes.select("class", "n", "keys", "bits", F.col("rep.y").alias("doc_id"), F.col("rep.z").alias("tid"))
+
+
+def _homes(classes: DataFrame, groups: DataFrame, inside: DataFrame) -> DataFrame:
+    """class, n, grp and label of each class (alone: itself), with the group's least and most n."""
+    own = groups.where("own").select("class", "grp").join(inside.where("own").select("class", "label"), "class")
     group = Window.partitionBy(F.coalesce("grp", "class"))
-    homes = materialize(classes.select("class", "n").join(homes, "class", "left").select("class", F.coalesce("grp", "class").alias("grp"), F.coalesce("label", "class").alias("label"), "n", F.min("n").over(group).alias("least"), F.max("n").over(group).alias("most")), "jaccard-homes")
+    every = classes.select("class", "n").join(own, "class", "left")
+    return every.select("class", F.coalesce("grp", "class").alias("grp"), F.coalesce("label", "class").alias("label"), "n", F.min("n").over(group).alias("least"), F.max("n").over(group).alias("most"))
 
-    discard(sets)
-    often, words = _most(profiles, "frequent", FREQUENT), _most(profiles, "words", WORDS_KNOWN)
-    shared = spark.sparkContext.broadcast((*often, words[0], np.log1p(words[1])))  # FREQUENT + WORDS_KNOWN rows at most
+
+def _asked(rows: DataFrame, homes: DataFrame, order) -> DataFrame:
+    """class, grp: which classes ask which other groups, by the rarest tokens that a link cannot do without."""
     token = Window.partitionBy("token")
-    found = _postings(rows, shared).withColumn("before", F.lag("class").over(token.orderBy("class"))).withColumn("several", F.min("class").over(token) != F.max("class").over(token))
+    by_class = token.orderBy("class")
+    found = _postings(rows, order).withColumn("before", F.lag("class").over(by_class)).withColumn("several", F.min("class").over(token) != F.max("class").over(token))
     postings = materialize(found.where("several AND (before IS NULL OR before <> class)").select("token", "class", "rest"), "jaccard-postings")
     found = postings.join(homes, "class").withColumn("apart", F.min("label").over(token) != F.max("label").over(token))
     apart = materialize(found.where("apart").select("token", "class", "rest", "grp", "label", "n", "least", "most"), "jaccard-apart")
-    rows_of = apart.groupBy("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label")).agg(F.max("rest").alias("o_rest"), F.min("least").alias("o_least"), F.max("most").alias("o_most"))
+    discard(postings)
+    rows_of = apart.groupBy("token", F.col("grp").alias("o_grp"), F.col("label").alias("o_label"))
+    rows_of = rows_of.agg(F.max("rest").alias("o_rest"), F.min("least").alias("o_least"), F.max("most").alias("o_most"))
     sizes = f"{DENOMINATOR} * o_most >= {NUMERATOR} * n AND {NUMERATOR} * o_least <= {DENOMINATOR} * n"
     enough = f"{NUMERATOR + DENOMINATOR} * least(rest, o_rest) >= {NUMERATOR} * (n + o_least)"  # what follows the first token shared bounds the overlap
-    asked = apart.join(rows_of, "token").where(f"label < o_label AND grp <> o_grp AND {sizes} AND {enough}").select("class", F.col("o_grp").alias("grp")).distinct()
-    asked = materialize(_resembling(asked, homes.select("class", "grp"), classes.select("class", "n", "bits")), "jaccard-asked")
-    discard(postings)
+    asked = apart.join(rows_of, "token").where(f"label < o_label AND grp <> o_grp AND {sizes} AND {enough}")
+    asked = materialize(asked.select("class", F.col("o_grp").alias("grp")).distinct(), "jaccard-asked")
     discard(apart)
-    opened = asked.select("grp").distinct()
-    members = homes.join(opened, "grp", "left_semi").select("class", "grp", "label")
-    involved = members.select("class").unionByName(asked.select("class")).distinct()
-    have = materialize(_fetch(rows, involved.join(reps, "class")), "jaccard-opened")
-    both = members.withColumn("asks", F.lit(False)).unionByName(asked.select("class", "grp", F.lit(None).cast("long").alias("label")).withColumn("asks", F.lit(True)))
-    between = _solve_between(both.join(have, "class"))
+    return asked
+
+
+def _resolve(docs: DataFrame, text: str, ident: str) -> tuple[DataFrame, DataFrame]:
+    """Profiles of all rows (doc_id, tid, n, class), and root by class for classes that link to others."""
+    whole = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    rows = docs.select(quoted(ident).cast("long").alias("doc_id"), F.xxhash64(whole).alias("tid"), whole.alias("text"))
+    profiles = materialize(_profiles(rows), "jaccard-profiles")
+    often, words = _most(profiles, "frequent", FREQUENT), _most(profiles, "words", WORDS_KNOWN)
+    classes = materialize(_classes(profiles), "jaccard-classes")
+    slim = materialize(profiles.select("doc_id", "tid", "n", "class"), "jaccard-slim")
+    discard(profiles)
+    reps = classes.select("class", "doc_id", "tid")
+    groups = materialize(_groups(classes), "jaccard-groups")
+    seats = groups.select("class", "grp", F.lit(0).alias("part"), F.lit(False).alias("asks"), "own", "pivot", F.lit(None).cast("long").alias("label"))
+    inside = materialize(_solve_inside(_seated(rows, reps, seats)), "jaccard-inside")
+    homes = materialize(_homes(classes, groups, inside), "jaccard-homes")
+    shared = docs.sparkSession.sparkContext.broadcast((*often, words[0], np.log1p(words[1])))  # FREQUENT + WORDS_KNOWN rows at most
+    asked = _asked(rows, homes, shared)
+    seats = materialize(_seats_between(asked, homes.select("class", "grp", "label"), classes), "jaccard-seats")
+    between = _solve_between(_seated(rows, reps, seats))
     links = materialize(inside.select(F.col("class").alias("a"), F.col("label").alias("b")).unionByName(between), "jaccard-links")
-    discard(have)
-    return profiles.select("doc_id", "tid", "n", "class"), components(links)
+    for spent in (classes, groups, inside, homes, asked, seats):
+        discard(spent)
+    return slim, components(links)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for each row of docs."""
     profiles, roots = _resolve(docs, text, ident)
-    placed = profiles.join(roots.withColumnRenamed("vertex", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    key = F.when(F.col("n") > 0, F.col("class"))  # rows without shingles have one class, and no links: a null key is not dealt out by it
+    placed = profiles.withColumn("key", key).join(roots.withColumnRenamed("vertex", "key"), "key", "left").drop("key").withColumn("root", F.coalesce("root", "class"))
     placed = materialize(placed, "jaccard-placed")
     least = materialize(placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k"), "jaccard-least")
     out = placed.join(least, (placed["root"] == least["root"]) & (placed["n"] > 0), "left")
