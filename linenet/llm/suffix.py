@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linenet.llm.common import discard, materialize, quoted
+from linenet.llm.common import discard, lean, materialize, quoted
 
 LENGTH, GRAM = 200, 128
 SIDE = LENGTH - GRAM
@@ -221,7 +221,7 @@ def _strings(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["h", "c", "did", "tid", "n", "pos", "many"])
                 begin = end
 
-    return rows.mapInArrow(run, "h long, c long, did long, tid long, n int, pos int, many boolean")
+    return rows.mapInArrow(lean(run), "h long, c long, did long, tid long, n int, pos int, many boolean")
 
 
 def _hits(found: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def _surroundings(rows: DataFrame, hits: DataFrame) -> DataFrame:
     wanted = hits.where("rep").groupBy("did", "tid").agg(F.collect_list(F.struct("h", "pos", "twice", "crowd")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"did": "w_did", "tid": "w_tid"})
     same = (F.col("tid") == F.col("w_tid")) & F.col("did").eqNullSafe(F.col("w_did"))
-    return rows.join(wanted, same).select("tid", "text", "wanted").mapInArrow(run, "h long, tid long, n int, pos int, twice boolean, crowd long, left binary, right binary")
+    return rows.join(wanted, same).select("tid", "text", "wanted").mapInArrow(lean(run), "h long, tid long, n int, pos int, twice boolean, crowd long, left binary, right binary")
 
 
 SPAN = "tid long, n int, begin int, end int"
@@ -302,7 +302,7 @@ def _sorted_spans(around: DataFrame) -> DataFrame:
             yield solve(held, pa)
 
     rows = around.where(F.col("crowd") <= CROWD).select("h", "tid", "n", "pos", "twice", "left", "right")
-    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPAN)
+    return rows.repartition("h").sortWithinPartitions("h").mapInArrow(lean(run), SPAN)
 
 
 def _counted_spans(around: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def _counted_spans(around: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([h] * m, pa.int64()), pa.array(ks, pa.int32()), pa.array(keys, pa.int64()), pa.array([tid] * m, pa.int64()), pa.array([n] * m, pa.int32()), pa.array([pos] * m, pa.int32()), pa.array([twice] * m, pa.bool_())], names=["h", "k", "key", "tid", "n", "pos", "twice"])
 
     rows = around.where(F.col("crowd") > CROWD).select("h", "tid", "n", "pos", "twice", "left", "right")
-    each = rows.mapInArrow(run, "h long, k int, key long, tid long, n int, pos int, twice boolean")
+    each = rows.mapInArrow(lean(run), "h long, k int, key long, tid long, n int, pos int, twice boolean")
     same = F.sum(F.when(F.col("twice"), 2).otherwise(1)).over(Window.partitionBy("h", "k", "key"))
     return each.withColumn("total", same).where("total >= 2 AND NOT twice").select("tid", "n", (F.col("pos") - F.col("k")).alias("begin"), (F.col("pos") - F.col("k") + LENGTH).alias("end"))
 
@@ -371,4 +371,4 @@ def remove(docs: DataFrame, text: str = "text", ident: str = "doc_id", with_text
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema(kinds))
 
     joined = rows.join(cuts, ["tid", "n"], "left").select("did", "text", "spans", "all")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
+    return joined.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
