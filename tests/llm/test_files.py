@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import html
+import re
 import zlib
 
 import numpy as np
@@ -158,6 +160,34 @@ def test_html_cases(spark):
     html_text.main_text("<a " + "x='" * 20_000)
 
 
+SAID = "The paper of the year that was in all of the news and it is long enough for that. " * 4
+
+
+def test_html_names():
+    for name in ("site has-sidebar", "no-sidebar", "with-sidebar wide", "modal"):
+        assert html_text.main_text(f'<div class="{name}"><article><p>{SAID}</p></article></div>') == SAID.strip()
+    inside = f'<p>{SAID}</p><div class="side-by-side"><p>{SAID}</p></div><div class="cookie-banner">{SAID}</div><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><p>End.</p>'
+    assert html_text.main_text(f"<article>{inside}</article>") == f"{SAID.strip()}\n{SAID.strip()}\nEnd."
+    assert html_text.main_text(f'<div class="sidebar"><article>Teaser</article></div><article><p>{SAID}</p></article>') == SAID.strip()
+
+
+def test_html_query(spark, sf):
+    """Brute force on the table's own pages, whose articles hold headings, paragraphs, unclosed bold type and line ends only."""
+
+    def text(page):
+        inside = re.search(r"<article>(.*?)(</article>|$)", page or "", re.S)
+        blocks = re.split(r"</?(?:p|h1)>", inside.group(1)) if inside else []
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in blocks]
+        return "\n".join(b for b in blocks if b)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    found = queries.op9_html(spark, sf).collect()
+    assert len(found) == len(pages)
+    assert all(r.text == text(pages[r.page_id]) and r.n_chars == len(r.text) for r in found)
+    rows = spark.createDataFrame([(1, "u", f"<article><p>{SAID * 3000}</p></article>", 5)] * 2, "page_id long, url string, html string, n_chars long")
+    assert [r.n_chars for r in html_text.extract(rows).collect()] == [len(SAID) * 3000 - 1] * 2
+
+
 def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline
 

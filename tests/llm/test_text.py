@@ -248,3 +248,48 @@ def test_non_negative_risk():
     w, b = toxicity.fit_nnpu(x_p, x_u, 0.3)
     z = x_u @ w + b
     assert (z[:150] > 0).mean() > 0.95 and (z[150:] < 0).mean() > 0.95
+
+
+def test_toxicity_columns():
+    """n-grams of one bucket count once, as in fitting."""
+    model = toxicity.Model([" one ", " two "], np.array([0, 0]), np.array([2.0]), -3.0)
+    score = model.scorer()
+    assert score("one") == score("one two two") == score("two") > score("three") == score(None) == score("")
+
+
+def test_toxicity_reference(spark, sf):
+    """The query's scores against the model applied by plain search in every whole text."""
+    docs, known = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, known)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op2_toxicity(spark, sf).collect():
+        words = toxicity.words_of(texts[r.doc_id]) if texts[r.doc_id] else ""
+        own = sorted({c for g, c in zip(model.grams, model.columns.tolist(), strict=True) if g in words})
+        assert abs(r.score - 1 / (1 + np.exp(-(model.bias + model.weights[own].sum())))) < 1e-9 and r.predicted == int(r.score >= 0.5)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_toxicity_clashes(spark):
+    random.seed(4)
+    some = lambda: " ".join(random.choices(["".join(random.choices("abcdefgh", k=6)) for _ in range(300)], k=20))
+    texts = [some() + (" vile rotten nasty" if i < 40 else "") for i in range(300)]
+    texts[3] += " vile" * 200_000
+    rows = [(i, t, i, 0.5, "t") for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score long, held_out double, row string")
+    known = spark.createDataFrame([(i, int(i < 40)) for i in range(300)], "doc_id long, toxic int")
+    kept = toxicity.drop_toxic(docs, known)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(list(range(40, 300)) * 2)
+    assert toxicity.classify(docs, known, text="text").count() == 600
+
+
+def test_resemblance():
+    """Parities never lose a pair that links."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 40, 700, 3000):
+        base = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
+        members = [np.sort(np.concatenate([base[k:], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in range(0, n // 9 + 1, max(1, n // 50))]
+        near = jaccard.Resemblance([(len(m), jaccard.parities(m)) for m in members]).of(n, jaccard.parities(base)).tolist()
+        shared = np.array([len(np.intersect1d(base, m)) for m in members])
+        assert set(np.flatnonzero(jaccard.linked(n, np.array([len(m) for m in members]), shared)).tolist()) <= set(near)
+        other = np.sort(rng.integers(0, 2**63, n).astype(np.uint64))
+        assert n < 40 or not len(jaccard.Resemblance([(n, jaccard.parities(other))]).of(n, jaccard.parities(base)))
