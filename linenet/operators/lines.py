@@ -50,6 +50,12 @@ def attach_nearest(points: DataFrame, others: DataFrame, most: float, fields: li
     return points.join(best, "id", "left").select("id", F.col("best.rid").alias("rid"), F.col("best.distance").alias("distance"), *[F.col(f"best.{f}").alias(f) for f in fields])
 
 
+def names_of(points: DataFrame, named: DataFrame, name: str, most: float = 50.0) -> DataFrame:
+    """points: id (from 0), x, y; named: rid, x, y and a name. id, name: that of the nearest within `most`, else "Point" and a number."""
+    found = attach_nearest(points, named, most, [name])
+    return found.select("id", F.coalesce(name, F.concat(F.lit("Point "), (F.col("id") + 1).cast("string"))).alias("name"))
+
+
 def pairs_within(points: DataFrame, most: float) -> DataFrame:
     """points: id, x, y. Pairs a < b no further apart than `most`."""
     cell = [F.floor(F.col("x") / most).alias("ix"), F.floor(F.col("y") / most).alias("iy")]

@@ -1,9 +1,8 @@
-"""Operators on one line or one group at a time whose logic is sequential: cutting, simplifying, canonical form, thinning.
+"""Operators on one line or one group at a time whose logic is sequential: simplifying and thinning.
 They run as Arrow functions over rows, or over groups that are small by nature (labels of one name)."""
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 from pyspark.sql import DataFrame
@@ -35,52 +34,6 @@ def simplify_points(points: list[tuple[float, float]], tolerance: float) -> list
     return [points[i] for i in sorted(keep)]
 
 
-def canonical_points(points: list[tuple[float, float]], tolerance: float = 0.01) -> list[tuple[float, float]]:
-    """Open lines begin at the smaller end; rings at their smallest vertex, in the smaller direction, closed exactly."""
-    (ax, ay), (bx, by) = points[0], points[-1]
-    if math.hypot(bx - ax, by - ay) > tolerance or len(points) < 4:
-        return points if points[0] <= points[-1] else points[::-1]
-    ring = points[:-1]
-    k = ring.index(min(ring))
-    one = ring[k:] + ring[:k]
-    other = [one[0]] + one[1:][::-1]
-    best = min(one, other)
-    return best + best[:1]
-
-
-def cut_positions(length: float, positions: list[float], tolerance: float, merge: float = 0.01) -> list[float]:
-    """Cuts strictly inside, merged when closer than `merge`, with 0 and the length."""
-    inside, out = sorted(p for p in positions if tolerance < p < length - tolerance), [0.0]
-    for p in inside:
-        if p - out[-1] >= merge:
-            out.append(p)
-    return [*out, length]
-
-
-def cut_points(points: list[tuple[float, float]], positions: list[float]) -> list[list[tuple[float, float]]]:
-    """The pieces between neighbouring positions; pieces without length are left out."""
-    along = [0.0]
-    for (ax, ay), (bx, by) in zip(points, points[1:], strict=False):
-        along.append(along[-1] + math.hypot(bx - ax, by - ay))
-
-    def at(d):
-        k = max(0, min(len(along) - 2, next((i for i in range(len(along) - 1) if along[i + 1] >= d), len(along) - 2)))
-        span = along[k + 1] - along[k]
-        t = (d - along[k]) / span if span else 0.0
-        (ax, ay), (bx, by) = points[k], points[k + 1]
-        return ax + t * (bx - ax), ay + t * (by - ay)
-
-    out = []
-    for lo, hi in zip(positions, positions[1:], strict=False):
-        if hi > lo:
-            out.append([at(lo), *[p for p, d in zip(points, along, strict=True) if lo < d < hi], at(hi)])
-    return out
-
-
-def shape_digest(points: list[tuple[float, float]]) -> str:
-    return hashlib.sha256(";".join(f"{x:.2f},{y:.2f}" for x, y in points).encode()).hexdigest()[:8]
-
-
 def simplify(lines: DataFrame, tolerance: float) -> DataFrame:
     @F.udf(COORDS, useArrow=True)
     def run(coords):
@@ -89,32 +42,6 @@ def simplify(lines: DataFrame, tolerance: float) -> DataFrame:
     return lines.withColumn("coords", run("coords"))
 
 
-def canonical(lines: DataFrame) -> DataFrame:
-    """Adds the digest of each line in canonical form."""
-
-    @F.udf(f"struct<coords:{COORDS},digest:string>", useArrow=True)
-    def run(coords):
-        points = canonical_points([(p["x"], p["y"]) for p in coords])
-        return {"coords": [{"x": x, "y": y} for x, y in points], "digest": shape_digest(points)}
-
-    return lines.withColumn("c", run("coords")).withColumn("coords", F.col("c.coords")).withColumn("digest", F.col("c.digest")).drop("c")
-
-
-def cut_lines(lines: DataFrame, cuts: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """lines: line_id, coords; cuts: line_id, m. line_id, piece, coords, metres."""
-
-    @F.udf(f"array<struct<coords:{COORDS},metres:double>>", useArrow=True)
-    def run(coords, at):
-        points = [(p["x"], p["y"]) for p in coords]
-        whole = sum(math.hypot(b[0] - a[0], b[1] - a[1]) for a, b in zip(points, points[1:], strict=False))
-        pieces = cut_points(points, cut_positions(whole, list(at) if at is not None else [], tolerance))
-        return [{"coords": [{"x": x, "y": y} for x, y in p], "metres": sum(math.hypot(b[0] - a[0], b[1] - a[1]) for a, b in zip(p, p[1:], strict=False))} for p in pieces]
-
-    at = cuts.groupBy("line_id").agg(F.collect_list("m").alias("at"))
-    rows = lines.join(at, "line_id", "left").select("line_id", F.posexplode(run("coords", "at")).alias("piece", "p"))
-    return rows.select("line_id", "piece", F.col("p.coords").alias("coords"), F.col("p.metres").alias("metres"))
-
-
 def thin_points(points: DataFrame, spacing: float, group: str, priority: str) -> DataFrame:
     """points: id, x, y, group, priority. Greedy by priority (the smallest first, then id): a point stays unless it is
     strictly nearer than spacing to one that stays. Groups are the labels of one name."""

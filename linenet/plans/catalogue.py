@@ -78,7 +78,7 @@ def _(t):
     return Q.filled_share(t.events, ["props", "value"], ["event_type"])
 
 
-@query("p17_search_fold", "SELECT count(*) AS hits, min(id) AS first, max(id) AS last FROM (SELECT doc_id AS id FROM documents WHERE contains(replace(translate(lower(text), 'øåäöéèêëàâáóòôúùûüíìîñçß', 'oaaoeeeeaaaooouuuuiiincs'), 'æ', 'ae'), 'eau'))")
+@query("p17_search_fold", "SELECT count(*) AS hits, min(id) AS first, max(id) AS last FROM (SELECT doc_id AS id FROM documents WHERE contains(strip_accents(replace(translate(lower(text), 'øå', 'oa'), 'æ', 'ae')), 'eau'))")
 def _(t):
     return t.documents.where(X.fold(F.col("text")).contains("eau")).agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
@@ -93,11 +93,6 @@ def _(t):
     return t.supplier.where("s_acctbal > 0").join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("s_nationkey", "n_name").agg(F.min_by("s_name", "s_suppkey").alias("name"))
 
 
-@query("s12_find", "SELECT p_partkey, p_name FROM part WHERE p_type ILIKE '%steel%'")
-def _(t):
-    return t.part.where(F.col("p_type").ilike("%steel%")).select("p_partkey", "p_name")
-
-
 @query("s13_within_bounds", f"WITH {CU} SELECT id FROM cu WHERE x BETWEEN 100 AND 400 AND y BETWEEN 200 AND 600")
 def _(t):
     return t.customers().where("x BETWEEN 100 AND 400 AND y BETWEEN 200 AND 600").select("id")
@@ -367,17 +362,6 @@ def _(t):
     return d.select("event_id", "d", X.zigzag(F.col("d")).alias("code"), X.varint_bytes(X.zigzag(F.col("d"))).alias("bytes"))
 
 
-@query("w06_gradients", f"WITH {SERIES}, k AS (SELECT * FROM e WHERE z IS NOT NULL), g AS (SELECT user_id, event_id, first_value(tm) OVER w AS a0, last_value(tm) OVER w AS a1, first_value(z) OVER w AS z0, last_value(z) OVER w AS z1 FROM k WINDOW w AS (PARTITION BY user_id ORDER BY tm RANGE BETWEEN 43200 PRECEDING AND 43200 FOLLOWING)) SELECT event_id, round(CASE WHEN a1 - a0 >= 600 THEN 100 * (z1 - z0) / (a1 - a0) END, 6) AS slope, CASE WHEN abs(coalesce(CASE WHEN a1 - a0 >= 600 THEN 100000 * (z1 - z0) / (a1 - a0) END, 0)) < 15 THEN 0 WHEN abs(100000 * (z1 - z0) / (a1 - a0)) < 25 THEN 1 WHEN abs(100000 * (z1 - z0) / (a1 - a0)) < 40 THEN 2 ELSE 3 END AS band FROM g")
-def _(t):
-    g = S.gradients(_series(t), "user_id", "at", "z", 43200, 600.0)
-    return g.select("event_id", F.round("slope", 6).alias("slope"), S.band(F.col("slope") * 1000).alias("band"))
-
-
-@query("w08_draw_points", f"WITH {SERIES}, q AS (SELECT *, min(tm) OVER w AS lo, max(tm) OVER w AS hi FROM e WINDOW w AS (PARTITION BY user_id)) SELECT user_id, CASE WHEN hi > lo THEN least(39, floor((tm - lo) * 40 / (hi - lo)))::INT ELSE 0 END AS slot, min(z) AS low, max(z) AS high FROM q GROUP BY 1, 2")
-def _(t):
-    return S.draw_points(_series(t), "user_id", "at", "z", 40)
-
-
 CC = f"WITH RECURSIVE {ED}, arcs AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), cc(v, m) USING KEY (v) AS (SELECT a, a FROM arcs UNION (SELECT arcs.b AS v, min(cc.m) AS m FROM cc JOIN arcs ON arcs.a = cc.v JOIN recurring.cc AS u ON u.v = arcs.b WHERE cc.m < u.m GROUP BY arcs.b))"
 
 
@@ -413,15 +397,6 @@ def _(t):
     return N.shortest_paths(t.edges().withColumn("cost", F.col("length_m")), 1).select("vertex", F.round("cost", 4).alias("cost"))
 
 
-@query("c04_chains")
-def _(t):
-    e = t.edges()
-    arms = e.select(F.col("a").alias("node"), (F.col("edge_id") * 2).alias("arm"), "source", "edge_id").union(e.select(F.col("b"), F.col("edge_id") * 2 + 1, F.col("source"), F.col("edge_id")))
-    turn = F.radians((F.col("edge_id") * 37 + F.col("arm") % 2 * 151) % 360)
-    arms = arms.select("node", "arm", F.when(F.col("source") != "5-LOW", F.concat_ws(" ", "source", (F.col("edge_id") % 50).cast("string"))).alias("identity"), F.cos(turn).alias("dx"), F.sin(turn).alias("dy"))
-    return N.build_chains(e.select("edge_id"), N.pair_arms(arms))
-
-
 # --- series ----------------------------------------------------------------------------------------------------------
 
 FOLD = """list_reduce(list_prepend({'t': 0::DOUBLE, 'a': NULL::DOUBLE, 'e': NULL::DOUBLE, 'z': NULL::DOUBLE}, list_transform(%s, lambda hh: {'t': 0::DOUBLE, 'a': NULL::DOUBLE, 'e': NULL::DOUBLE, 'z': hh})), lambda s, r:
@@ -506,22 +481,12 @@ def _(t):
     return sinks.osm_nodes(t.lines())
 
 
-@query("k01_gpx_tracks", f"WITH {V} SELECT line_id, length('<trk><name>' || line_id || '</name><trkseg>' || string_agg(printf('<trkpt lat=\"%.7f\" lon=\"%.7f\"></trkpt>', y, x), '' ORDER BY rn) || '</trkseg></trk>') AS n FROM l GROUP BY line_id")
-def _(t):
-    return sinks.tracks_xml(t.lines(), "line_id").select(F.regexp_extract("value", "<name>(.*?)</name>", 1).cast("long").alias("line_id"), F.length("value").cast("long").alias("n"))
-
-
 @query("s23_gpx_round_trip", f"WITH {V} SELECT line_id, rn - 1 AS seq, round(x, 5) AS lon, round(y, 5) AS lat FROM l")
 def _(t):
     documents = sinks.tracks_xml(t.lines(), "line_id").select(F.regexp_extract("value", "<name>(.*?)</name>", 1).cast("long").alias("line_id"), F.col("value").alias("text"))
     return files.parse_gpx(documents, "line_id").select("line_id", F.col("seq").cast("long").alias("seq"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
-@query("s20_event_places", "SELECT event_type, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS kinds FROM events GROUP BY 1")
-def _(t):
-    return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.get_json_object("props", "$.k")).alias("kinds"))
-
-
 @query("d01_waymarked", f"WITH {V}, {SU}, mk AS (SELECT x AS x1, y AS y1, x + 300 AS x2, y AS y2 FROM su), q AS (SELECT line_id, rn, max(CASE WHEN sqrt(power(x - greatest(x1, least(x2, x)), 2) + power(y - y1, 2)) <= 25 THEN 1 ELSE 0 END) AS hit FROM l, mk GROUP BY 1, 2), sh AS (SELECT line_id, avg(hit::DOUBLE) AS share FROM q GROUP BY 1) SELECT line_id, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN 'marked' ELSE 'unknown' END AS waymarked FROM sh")
 def _(t):
     s = t.suppliers()
@@ -564,22 +529,11 @@ def _(t):
     return L.nearest_on_lines(t.customers(), segs, 25.0).select("id", "line_id", F.round("distance", 6).alias("distance"))
 
 
-@query("g14_canonical")
-def _(t):
-    return shapes.canonical(t.lines()).select("line_id", "digest")
-
-
 @query("g17_simplify")
 def _(t):
     return shapes.simplify(t.lines(), 50.0).select("line_id", F.size("coords").alias("n_vertices"), F.round(G.length(F.col("coords")), 3).alias("metres"))
 
 
-@query("g09_cut_lines", f"WITH {V} SELECT line_id, round(sum(len), 3) AS metres FROM s GROUP BY 1")
-def _(t):
-    cuts = t.segments().select("line_id", (F.col("m0") + F.col("len") / 2).alias("m"))
-    return shapes.cut_lines(t.lines(), cuts).groupBy("line_id").agg(F.round(F.sum("metres"), 3).alias("metres"))
-
-
 @query("o01_thin_points")
 def _(t):
     points = t.customers().select("id", "x", "y", F.col("c_nationkey").alias("grp"), (-F.col("c_acctbal")).alias("rank"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
+import html
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,24 +19,54 @@ def escaped(value: Column) -> Column:
     return text
 
 
-def tracks_xml(lines: DataFrame, name: str = "name") -> DataFrame:
-    """lines: name, coords (x = longitude, y = latitude, optionally z). One <trk> text per line; heights with two decimals where known."""
-    has_z = "z" in [f.name for f in lines.schema["coords"].dataType.elementType.fields]
+def tracks_xml(lines: DataFrame, name: str = "name", described: tuple[str, ...] = (), figures: tuple[str, ...] = ()) -> DataFrame:
+    """lines: name, coords (x = longitude, y = latitude, optionally z) or parts (an array of such). One <trk> text per line, a
+    segment per part; heights with two decimals where known, the fields that say something as description, and figures
+    with one decimal as extensions."""
+    lines = lines if "parts" in lines.columns else lines.withColumn("parts", F.array("coords"))
+    has_z = "z" in [f.name for f in lines.schema["parts"].dataType.elementType.elementType.fields]
 
     def point(p):
         at = F.format_string('<trkpt lat="%.7f" lon="%.7f">', p["y"], p["x"])
-        ele = F.when(p["z"].isNotNull(), F.format_string("<ele>%.2f</ele>", p["z"])).otherwise("") if has_z else F.lit("")
+        ele = F.when(p["z"].isNotNull() & ~F.isnan(p["z"]), F.format_string("<ele>%.2f</ele>", p["z"])).otherwise("") if has_z else F.lit("")
         return F.concat(at, ele, F.lit("</trkpt>"))
 
-    body = F.array_join(F.transform("coords", point), "")
-    return lines.where(F.size("coords") > 1).select(F.concat(F.lit("<trk><name>"), escaped(F.col(name)), F.lit("</name><trkseg>"), body, F.lit("</trkseg></trk>")).alias("value"))
-
-
-def write_gpx(lines: DataFrame, path: str, title: str, name: str = "name") -> None:
-    """A folder of GPX 1.1 documents, one for each partition, written by the executors."""
-    head = f'<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="linenet" xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>{title}</name></metadata>'
-    rows = tracks_xml(lines, name).withColumn("part", F.spark_partition_id())
-    whole = rows.groupBy("part").agg(F.concat(F.lit(head), F.array_join(F.collect_list("value"), ""), F.lit("</gpx>")).alias("value"))
+    kept = F.filter("parts", lambda c: F.size(c) > 1)
+    body = F.array_join(F.transform(kept, lambda c: F.concat(F.lit("<trkseg>"), F.array_join(F.transform(c, point), ""), F.lit("</trkseg>"))), "")
+    said = F.concat_ws("; ", *[F.when(F.trim(F.col(d).cast("string")) != "", F.concat(F.lit(f"{d}: "), F.trim(F.col(d).cast("string")))) for d in described]) if described else F.lit("")
+    desc = F.when(said != "", F.concat(F.lit("<desc>"), escaped(said), F.lit("</desc>"))).otherwise("")
+    more = F.concat_ws("", *[F.when(F.col(f).isNotNull(), F.format_string(f"<{f}>%.1f</{f}>", F.col(f).cast("double"))) for f in figures]) if figures else F.lit("")
+    extra = F.when(more != "", F.concat(F.lit("<extensions>"), more, F.lit("</extensions>"))).otherwise("")
+    return lines.where(F.size(kept) > 0).select(F.concat(F.lit("<trk><name>"), escaped(F.col(name)), F.lit("</name>"), desc, extra, body, F.lit("</trk>")).alias("value"))
+
+
+def waypoints_xml(points: DataFrame) -> DataFrame:
+    """points: name, x, y. One <wpt> text each."""
+    return points.select(F.concat(F.format_string('<wpt lat="%.7f" lon="%.7f"><name>', "y", "x"), escaped(F.col("name")), F.lit("</name></wpt>")).alias("value"))
+
+
+def gpx_head(title: str, description: str = "", credits: tuple[tuple[str, str, str], ...] = ()) -> str:
+    """credits: name, licence, address. Each licence is said once for people, and its address once for machines."""
+    own = lambda v: html.escape(v, quote=True)
+    said: dict[str, list[str]] = {}
+    for name, licence, _ in credits:
+        said.setdefault(licence, []).append(name)
+    lines = [description] * bool(description) + [f"{', '.join(dict.fromkeys(names))}: {licence}" for licence, names in said.items()]
+    links = "".join(f'<link href="{own(a)}"/>' for a in dict.fromkeys(address for _, _, address in credits if address.startswith(("http://", "https://"))))
+    desc = f"<desc>{own('; '.join(lines))}</desc>" if lines else ""
+    return f'<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="linenet" xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>{own(title)}</name>{desc}{links}</metadata>'
+
+
+def write_gpx(lines: DataFrame, path: str, title: str, name: str = "name", most: int | None = None, waypoints: DataFrame | None = None, **about) -> None:
+    """A folder of GPX 1.1 documents, one for each partition, written by the executors; waypoints come first. most: as many
+    lines, by line_id. about: description and credits of the head; described and figures of the tracks."""
+    head = gpx_head(title, about.pop("description", ""), about.pop("credits", ()))
+    rows = tracks_xml(lines if most is None else lines.orderBy("line_id").limit(most), name, **about).withColumn("o", F.lit(1))
+    if waypoints is not None:
+        rows = waypoints_xml(waypoints).withColumn("o", F.lit(0)).coalesce(1).unionByName(rows)
+    part = rows.withColumn("part", F.spark_partition_id()).withColumn("k", F.monotonically_increasing_id())
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("o", "k", "value"))), lambda v: v["value"])
+    whole = part.groupBy("part").agg(F.concat(F.lit(head), F.array_join(listed, ""), F.lit("</gpx>")).alias("value"))
     whole.select("value").write.text(path)
 
 
@@ -67,13 +99,18 @@ def osm_xml(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     return n.unionByName(w).orderBy("o", "id").select("value")
 
 
-def fingerprint(rows: DataFrame, columns: list[str]) -> str:
-    """16 hex digits over all rows, whatever their order; a null is unlike an empty text."""
-    text = F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("\x01")) for c in columns])
-    h = F.xxhash64(text)
-    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"))
-    row = sums.select(F.substring(F.sha2(F.concat_ws(",", "n", "x", "s"), 256), 1, 16)).first()
-    return row[0]
+def fingerprint(tables: dict[str, tuple[DataFrame, list[str]]], params: dict | None = None) -> str:
+    """16 hex digits over several tables (sources, masks, areas), whatever the order of their rows, and parameters. Values are
+    told apart by their lengths, a null from any text; a row is its SHA-256, and a table the count of its rows and the sums
+    of their digests' four quarters, which copies of a row change too."""
+    said = [json.dumps(params or {}, sort_keys=True, default=str)]
+    for name, (rows, columns) in sorted(tables.items()):
+        text = [F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in columns]
+        digest = F.sha2(F.concat_ws(",", *text), 256)
+        quarter = [F.conv(F.substring(digest, 16 * i + 1, 16), 16, 10).cast("decimal(20,0)") for i in range(4)]
+        found = rows.agg(F.count(F.lit(1)), *[F.sum(q) for q in quarter]).first()
+        said.append(f"{name} {columns} {[str(v) for v in found]}")
+    return hashlib.sha256("\n".join(said).encode()).hexdigest()[:16]
 
 
 def zigzag(v: int) -> int:
