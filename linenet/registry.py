@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linenet.plans import catalogue
+from linenet.plans import catalogue, network, registers  # the latter two register their queries with the first
+
+__all__ = ["network", "registers"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -19,6 +19,11 @@ def escaped(value: Column) -> Column:
     return text
 
 
+def fixed(value: Column, decimals: int) -> Column:
+    """With as many decimals, halves to even."""
+    return F.call_function("format_number", value, F.lit("0." + "0" * decimals))
+
+
 def tracks_xml(lines: DataFrame, name: str = "name", described: tuple[str, ...] = (), figures: tuple[str, ...] = ()) -> DataFrame:
     """lines: name, coords (x = longitude, y = latitude, optionally z) or parts (an array of such). One <trk> text per line, a
     segment per part; heights with two decimals where known, the fields that say something as description, and figures
@@ -28,14 +33,14 @@ def tracks_xml(lines: DataFrame, name: str = "name", described: tuple[str, ...]
 
     def point(p):
         at = F.format_string('<trkpt lat="%.7f" lon="%.7f">', p["y"], p["x"])
-        ele = F.when(p["z"].isNotNull() & ~F.isnan(p["z"]), F.format_string("<ele>%.2f</ele>", p["z"])).otherwise("") if has_z else F.lit("")
+        ele = F.when(p["z"].isNotNull() & ~F.isnan(p["z"]), F.concat(F.lit("<ele>"), fixed(p["z"], 2), F.lit("</ele>"))).otherwise("") if has_z else F.lit("")
         return F.concat(at, ele, F.lit("</trkpt>"))
 
     kept = F.filter("parts", lambda c: F.size(c) > 1)
     body = F.array_join(F.transform(kept, lambda c: F.concat(F.lit("<trkseg>"), F.array_join(F.transform(c, point), ""), F.lit("</trkseg>"))), "")
     said = F.concat_ws("; ", *[F.when(F.trim(F.col(d).cast("string")) != "", F.concat(F.lit(f"{d}: "), F.trim(F.col(d).cast("string")))) for d in described]) if described else F.lit("")
     desc = F.when(said != "", F.concat(F.lit("<desc>"), escaped(said), F.lit("</desc>"))).otherwise("")
-    more = F.concat_ws("", *[F.when(F.col(f).isNotNull(), F.format_string(f"<{f}>%.1f</{f}>", F.col(f).cast("double"))) for f in figures]) if figures else F.lit("")
+    more = F.concat_ws("", *[F.when(F.col(f).isNotNull(), F.concat(F.lit(f"<{f}>"), fixed(F.col(f).cast("double"), 1), F.lit(f"</{f}>"))) for f in figures]) if figures else F.lit("")
     extra = F.when(more != "", F.concat(F.lit("<extensions>"), more, F.lit("</extensions>"))).otherwise("")
     return lines.where(F.size(kept) > 0).select(F.concat(F.lit("<trk><name>"), escaped(F.col(name)), F.lit("</name>"), desc, extra, body, F.lit("</trk>")).alias("value"))
 
