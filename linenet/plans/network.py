@@ -216,9 +216,9 @@ def _(t):
     return A.share_inside(t.segments(), shapes_of(t).where("area_id = 2"), ["line_id"]).select("line_id", F.round("share", 6).alias("share"))
 
 
-@query("j12_reach_across", f"WITH {CLIP} SELECT line_id, round(coalesce(max(greatest(y1 + lo * (y2 - y1), y1 + hi * (y2 - y1))) FILTER (lo < hi) - min(least(y1 + lo * (y2 - y1), y1 + hi * (y2 - y1))) FILTER (lo < hi), 0), 4) AS reach FROM q WHERE area_id = 3 GROUP BY 1")
+@query("j12_reach_across", f"WITH {CLIP} SELECT line_id, round(coalesce(max(greatest(y1 + lo * (y2 - y1), y1 + hi * (y2 - y1))) FILTER (lo < hi) - min(least(y1 + lo * (y2 - y1), y1 + hi * (y2 - y1))) FILTER (lo < hi), 0) + 1e-7, 4) AS reach FROM q WHERE area_id = 3 GROUP BY 1")
 def _(t):
-    return A.reach_across(t.segments(), shapes_of(t).where("area_id = 3"), ["line_id"]).select("line_id", F.round("reach", 4).alias("reach"))
+    return A.reach_across(t.segments(), shapes_of(t).where("area_id = 3"), ["line_id"]).select("line_id", F.round(F.col("reach") + 1e-7, 4).alias("reach"))
 
 
 @query("j10_areas_in_zone", "WITH c AS (SELECT c_custkey AS area_id, ((c_custkey * 37) % 1009)::DOUBLE + 0.1 AS x, ((c_custkey * 101) % 997)::DOUBLE + 0.1 AS y FROM customer) SELECT area_id FROM c WHERE x <= 600.25 AND x + 7 >= 0.25 AND y <= 300.25 AND y + 5 >= 0.25 OR x <= 300.25 AND x + 7 >= 0.25 AND y <= 600.25 AND y + 5 >= 0.25")
@@ -331,7 +331,7 @@ def _(t):
     return found.select("chain_id", "high", "low", F.size("series").cast("long").alias("n"))
 
 
-@query("m08_dense_measures", f"WITH {V}, q AS (SELECT line_id, seg, len, sum(len) OVER (PARTITION BY line_id ORDER BY seg) - len AS m0 FROM s), wh AS (SELECT line_id, sum(len) AS whole FROM s GROUP BY 1), kn AS (SELECT line_id, m0 AS m FROM q UNION SELECT line_id, whole * unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) FROM wh), sp AS (SELECT line_id, m, lead(m) OVER (PARTITION BY line_id ORDER BY m) - m AS step FROM kn) SELECT line_id, sum(CASE WHEN step IS NULL THEN 1 ELSE greatest(1, ceil(step / 50)) END)::BIGINT AS n FROM sp GROUP BY 1")
+@query("m08_dense_measures", f"WITH {V}, q AS (SELECT line_id, seg, len, sum(len) OVER (PARTITION BY line_id ORDER BY seg) - len AS m0 FROM s), wh AS (SELECT line_id, sum(len) AS whole FROM s GROUP BY 1), kn AS (SELECT line_id, m0 AS m FROM q UNION SELECT line_id, whole * unnest([0.25, 0.5, 0.75, 1.0]::DOUBLE[]) FROM wh), sp AS (SELECT line_id, m, lead(m) OVER (PARTITION BY line_id ORDER BY m) - m AS step FROM kn) SELECT line_id, sum(CASE WHEN step IS NULL THEN 1 WHEN step <= 1e-6 THEN 0 ELSE greatest(1, ceil(step / 50 - 1e-9)) END)::BIGINT AS n FROM sp GROUP BY 1")
 def _(t):
     m = S.dense_measures(F.col("along"), F.array(*[F.lit(float(k)) for k in range(5)]), 50.0)
     return t.lines().withColumn("along", G.walked(F.col("coords"))).select("line_id", F.size(m).cast("long").alias("n"))

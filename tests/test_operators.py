@@ -79,23 +79,8 @@ def test_components_with_lone_vertices(spark):
     assert {r.vertex: r.component for r in found.collect()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 6: 6, 7: 7, 8: 8, 9: 3}
 
 
-def test_arms(spark):
-    east, west, north = (1.0, 0.0), (-1.0, 0.0), (0.0, 1.0)
-    rows = [(1, 1, None, *east), (1, 2, None, *north)]  # two arms always join
-    rows += [(2, 1, "x", *east), (2, 2, "x", *north), (2, 3, None, *west)]  # identity beats angle
-    rows += [(3, 1, None, *east), (3, 2, None, *west), (3, 3, None, *north)]  # straight on
-    rows += [(4, 1, "y", *east), (4, 2, "y", *west), (4, 3, "y", *north)]  # a divided way ends
-    found = {(r.node, r.arm): r.partner for r in N.pair_arms(spark.createDataFrame(rows, "node long, arm long, identity string, dx double, dy double")).collect()}
-    assert found == {(1, 1): 2, (1, 2): 1, (2, 1): 2, (2, 2): 1, (2, 3): None, (3, 1): 2, (3, 2): 1, (3, 3): None, (4, 1): None, (4, 2): None, (4, 3): None}
-
-
 def test_shapes():
     assert shapes.simplify_points([(0, 0), (1, 0.1), (2, 0), (3, 5), (4, 0)], 0.5) == [(0, 0), (2, 0), (3, 5), (4, 0)]
-    ring = [(1, 0), (1, 1), (0, 1), (0, 0), (1, 0)]
-    assert shapes.canonical_points(ring) == shapes.canonical_points(ring[2:-1] + ring[:3]) == shapes.canonical_points(ring[::-1])
-    assert shapes.cut_positions(10, [0.2, 5, 5.005, 9.9], 0.5) == [0.0, 5, 10]
-    pieces = shapes.cut_points([(0, 0), (4, 0), (10, 0)], [0.0, 5.0, 10.0])
-    assert pieces == [[(0.0, 0.0), (4, 0), (5.0, 0.0)], [(5.0, 0.0), (10.0, 0.0)]]
 
 
 def test_thinning_keeps_equal_distance(spark):
@@ -114,9 +99,9 @@ def test_payload_round_trip():
 
 def test_gpx_and_osm(spark, tmp_path):
     lines = spark.createDataFrame([(1, "A & b", [(10.0, 60.0, 5.0), (10.1, 60.1, None)]), (2, "short", [(1.0, 2.0, 3.0)])], "line_id long, name string, coords array<struct<x:double,y:double,z:double>>")
-    sinks.write_gpx(lines, str(tmp_path / "gpx"), "t")
+    sinks.write_gpx(lines, str(tmp_path / "gpx"), "T & <t>", credits=(("a", "CC", "https://l.example"), ("b", "CC", "javascript:x")))
     text = spark.read.text(str(tmp_path / "gpx"), wholetext=True).where("length(value) > 0").first().value
-    assert text.count("<trk>") == 1 and "A &amp; b" in text and text.count("<ele>") == 1 and "<time>" not in text
+    assert text.count("<trk>") == 1 and "A &amp; b" in text and "<name>T &amp; &lt;t&gt;</name><desc>a, b: CC</desc><link href=\"https://l.example\"/>" in text and text.count("<ele>") == 1 and "<time>" not in text
     doc = spark.createDataFrame([("d", text)], "path string, text string")
     assert [(r.lon, r.lat) for r in files.parse_gpx(doc).orderBy("seq").collect()] == [(10.0, 60.0), (10.1, 60.1)]
     tagged = spark.createDataFrame([(1, {"highway": "path", "name": None}, [(1.0, 2.0), (3.0, 4.0)]), (2, {"highway": "path"}, [(3.0, 4.0), (5.0, 6.0)])], "line_id long, tags map<string,string>, coords array<struct<x:double,y:double>>")
@@ -156,8 +141,11 @@ def test_catalogue(spark, tmp_path):
 
 def test_fingerprint_ignores_order(spark):
     a = spark.createDataFrame([(1, None), (2, ""), (3, "x")], "id int, v string")
-    assert sinks.fingerprint(a, ["id", "v"]) == sinks.fingerprint(a.orderBy(F.desc("id")).repartition(3), ["id", "v"])
-    assert sinks.fingerprint(a, ["id", "v"]) != sinks.fingerprint(a.na.fill(""), ["id", "v"])
+    mark = lambda df, **p: sinks.fingerprint({"a": (df, ["id", "v"])}, p)
+    assert mark(a) == mark(a.orderBy(F.desc("id")).repartition(3)) and len(mark(a)) == 16
+    assert len({mark(a), mark(a.na.fill("")), mark(a.union(a)), mark(a, step=5), mark(a.where("id < 3"))}) == 5
+    b = spark.createDataFrame([("a\x00b", "c"), ("-", "1:x")], "id string, v string")
+    assert mark(b) != mark(spark.createDataFrame([("a", "b\x00c"), ("-", "1:x")], "id string, v string"))
 
 
 def test_stream(spark, sf, tmp_path):
