@@ -38,8 +38,8 @@ def _normal(text: Column) -> Column:
 def _hot(docs: DataFrame, text: str) -> DataFrame:
     """mark: the hashes that more than one in HOT_SHARE of all rows have, so fewer than HOT_SHARE."""
     seen = materialize(docs.groupBy(F.xxhash64(_normal(quoted(text))).alias("mark")).agg(F.count(F.lit(1)).alias("n")), "exact-marks")
-    total = seen.agg(F.sum("n").alias("total"))
-    return seen.join(F.broadcast(total), F.col("n") * HOT_SHARE > F.col("total")).select("mark", F.lit(True).alias("hot"))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    return seen.where(F.col("n") * HOT_SHARE > total).select("mark", F.lit(True).alias("hot"))
 
 
 def _runs(docs: DataFrame, text: str, ident: str, carry: bool) -> DataFrame:
