@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linenet.functions import geometry as G
 from linenet.operators import lines as L
+from linenet.operators import noding
 
 TOUCHED = 100.0  # metres from which on an area counts as touched
 
@@ -53,10 +54,10 @@ def _oddly(edges: Column, ax, ay, bx, by) -> Column:
 
 def inside_spans(segs: DataFrame, areas: DataFrame, key: list[str], size: float = 250.0) -> DataFrame:
     """segs: key, x1 .. y2, len; areas: area_id, rings. The parts of each segment inside each area: key, area_id, and their
-    ends ax, ay, bx, by with their length metres."""
+    ends ax, ay, bx, by with their length metres, and where along the line they are (start, stop), if segs have m0."""
     c = F.col
-    segs = segs.where("len > 0").withColumn("seg_len", c("len"))
-    cut = L.pieces_by_cell(segs, [*key, "seg_len"], size)
+    segs = segs.where("len > 0").withColumn("seg_len", c("len")).withColumn("seg_m0", c("m0") if "m0" in segs.columns else F.lit(None).cast("double"))
+    cut = L.pieces_by_cell(segs, [*key, "seg_len", "seg_m0"], size)
     met = cut.join(area_cells(areas, size), ["ix", "iy"])
     dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
 
@@ -72,10 +73,24 @@ def inside_spans(segs: DataFrame, areas: DataFrame, key: list[str], size: float
         t = (s["lo"] + s["hi"]) / 2
         return c("inside") != _oddly(c("edges"), c("cx"), c("cy"), c("x1") + t * dx, c("y1") + t * dy)
 
-    found = met.select(*key, "area_id", "x1", "y1", "x2", "y2", "seg_len", F.explode(F.filter(spans, within)).alias("s"))
+    found = met.select(*key, "area_id", "x1", "y1", "x2", "y2", "seg_len", "seg_m0", F.explode(F.filter(spans, within)).alias("s"))
     at = lambda t: ((c("x1") + t * dx), (c("y1") + t * dy))
     (ax, ay), (bx, by) = at(c("s.lo")), at(c("s.hi"))
-    return found.select(*key, "area_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), ((c("s.hi") - c("s.lo")) * c("seg_len")).alias("metres"))
+    return found.select(*key, "area_id", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"), ((c("s.hi") - c("s.lo")) * c("seg_len")).alias("metres"), (c("seg_m0") + c("s.lo") * c("seg_len")).alias("start"), (c("seg_m0") + c("s.hi") * c("seg_len")).alias("stop"))
+
+
+def clip_lines(lines: DataFrame, mask: DataFrame, size: float = 250.0) -> DataFrame:
+    """lines: line_id, coords and others; mask: areas. A row for each stretch inside the mask: line_id, part, start, stop,
+    coords and the others. A line wholly inside keeps its own vertices, so that clipping nodes nothing."""
+    spans = inside_spans(L.segments(lines, ["line_id"]), mask, ["line_id"], size)
+    along = Window.partitionBy("line_id").orderBy("start", "stop")
+    before = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("opens", (before.isNull() | (F.col("start") > before + 1e-6)).cast("int")).withColumn("part", F.sum("opens").over(along) - 1)
+    runs = runs.groupBy("line_id", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).where("stop - start > 1e-6")
+    both = lines.join(runs, "line_id").withColumn("along", G.walked(F.col("coords")))
+    whole = (F.col("start") <= 1e-6) & (F.col("stop") >= F.element_at("along", -1) - 1e-6)
+    cut = noding.substring(F.col("coords"), F.col("along"), F.col("start"), F.col("stop"))
+    return both.withColumn("coords", F.when(whole, F.col("coords")).otherwise(cut)).drop("along")
 
 
 def one_area_each(areas: DataFrame) -> DataFrame:

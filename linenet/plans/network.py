@@ -216,6 +216,12 @@ def _(t):
     return A.share_inside(t.segments(), shapes_of(t).where("area_id = 2"), ["line_id"]).select("line_id", F.round("share", 6).alias("share"))
 
 
+@query("g05_clip_lines", f"WITH {CLIP}, m AS (SELECT line_id, seg, sum(len) OVER (PARTITION BY line_id ORDER BY seg) - len AS m0 FROM s), q0 AS (SELECT *, row_number() OVER (PARTITION BY line_id, area_id, x1, y1, x2, y2, lo, hi) AS again FROM q WHERE area_id = 3), sg AS (SELECT s.line_id, m0, s.len, s.x1, s.y1, s.x2, s.y2 FROM s JOIN m ON m.line_id = s.line_id AND m.seg = s.seg), iv AS (SELECT DISTINCT sg.line_id, m0 + lo * sg.len AS a, m0 + hi * sg.len AS b FROM sg JOIN q0 ON q0.line_id = sg.line_id AND q0.x1 = sg.x1 AND q0.y1 = sg.y1 AND q0.x2 = sg.x2 AND q0.y2 = sg.y2 WHERE lo < hi), f AS (SELECT *, CASE WHEN a > lag(b) OVER (PARTITION BY line_id ORDER BY a) + 1e-6 THEN 1 ELSE 0 END AS opens FROM iv), r AS (SELECT line_id, sum(opens) OVER (PARTITION BY line_id ORDER BY a) AS part, a, b FROM f) SELECT line_id, part::BIGINT AS part, round(max(b) - min(a), 3) AS metres FROM r GROUP BY 1, 2 HAVING max(b) - min(a) > 1e-6")
+def _(t):
+    found = A.clip_lines(t.lines(), shapes_of(t).where("area_id = 3"))
+    return found.select("line_id", "part", F.round(G.length(F.col("coords")), 3).alias("metres"))
+
+
 @query("j12_reach_across", f"WITH {CLIP} SELECT line_id, round(coalesce(max(greatest(y1 + lo * (y2 - y1), y1 + hi * (y2 - y1))) FILTER (lo < hi) - min(least(y1 + lo * (y2 - y1), y1 + hi * (y2 - y1))) FILTER (lo < hi), 0) + 1e-7, 4) AS reach FROM q WHERE area_id = 3 GROUP BY 1")
 def _(t):
     return A.reach_across(t.segments(), shapes_of(t).where("area_id = 3"), ["line_id"]).select("line_id", F.round(F.col("reach") + 1e-7, 4).alias("reach"))
