@@ -7,7 +7,8 @@ tables, with or without restart intervals): it parses markers and Huffman-decode
 files in step, a numpy lane for each. From DC coefficients alone come luminance thumbnails, their dimensions and hashes.
 
 Cases: a null text is empty; an empty payload is padded to 64 bytes; repeated rows get equal values; an empty table
-gives an empty table; other columns are not read. Progressive, arithmetic-coded or damaged files raise ValueError.
+gives an empty table; very long texts are stored whole; nothing is ranked, so there are no ties; other columns are not
+read, whatever their names. Progressive, arithmetic-coded or damaged files raise ValueError.
 """
 
 from __future__ import annotations

@@ -11,7 +11,9 @@ the counts by source are a multivariate-hypergeometric draw and no draw is taken
 There are at most `BLOCKS` blocks plus one per source whatever the input, of about `BLOCK_DOCS` documents or more, so the tree's tables stay small.
 
 Cases: a null text has size 0; a null source is a source of its own; sources of size 0 have target 0; fully
-repeated rows share a hash and are taken alike; an empty table gives an empty table. Reruns agree (hashes only).
+repeated rows share a hash (as would a tie of hashes) and are taken alike; the words of very long texts are all counted,
+and one that doesn't fit what is left is passed over; an empty table gives an empty table; other columns are carried,
+whatever their names. Reruns agree (hashes only).
 """
 
 from __future__ import annotations

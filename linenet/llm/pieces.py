@@ -13,7 +13,8 @@ follows them); the distinct units of a group of rows share their tables, and all
 
 Cases: null and empty texts have the empty segmentation (score 1); a text with fewer than k segmentations gives what it
 has; characters outside the vocabulary (and U+2581 itself) become byte pieces; a null key is a key; repeated rows are
-segmented alike; an empty table gives an empty table; other columns are not read.
+segmented alike; very long texts are segmented whole, in a group of their own; draws of equal noise (a tie) come in the
+order of the search; an empty table gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

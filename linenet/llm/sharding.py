@@ -9,7 +9,9 @@ Law: `bytes`. Slots count from 0 in each shard; they come from the offsets of (u
 class of identifiers within a large unit, so a text that a third of all rows share is numbered by many tasks.
 
 Cases: a null text counts as empty (8 bytes of size); a null doc_id is numbered like any other; fully repeated
-rows get slots of their own; an empty table gives an empty table; there may be empty shards when groups are few.
+rows get slots of their own, ties going by identifier; the size of very long texts counts whole; an empty table gives an
+empty table; other columns are not read, whatever their names; there may be empty shards when groups are few. Rows that
+share one text and lack a doc_id stand in one lane.
 """
 
 from __future__ import annotations

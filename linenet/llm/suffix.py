@@ -10,8 +10,8 @@ the anchor itself, which stands in the block as a short token.) A group of more
 too large for one block: its strings are counted by hash in many tasks instead.
 
 Cases: a null text is empty; texts shorter than `LENGTH` lose nothing; texts with copies lose everything (from `LENGTH`
-bytes on); repeated rows are copies; a null doc_id is a doc_id like others; an empty table gives an empty table; other
-columns are not read. Strings are judged on the input, by 64-bit hashes (with text hash and length for whole texts).
+bytes on); repeated rows are copies; a null doc_id is a doc_id like others; very long texts are read whole; an
+empty table gives an empty table; other columns are not read, whatever their names. Strings are judged on the input, by 64-bit hashes (with text hash and length for whole texts).
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ level, the directory and the block, and then read records by range, in archive o
 
 Cases: a null payload is empty; a null URL has the key `-`; a null page_id loses to any number, and among rows that
 all lack one, all are responses; of repeated rows (same page_id and payload) with the smallest page_id all are
-responses; an empty table gives no archives and an empty result; other columns are not read.
+responses; very long URLs and payloads are stored whole; an empty table gives no archives and an empty result; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
