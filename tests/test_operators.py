@@ -204,3 +204,22 @@ def test_segments_go_to_the_cells_of_their_paths(spark):
     met = L.crossing_points(segs, 40.0)
     assert sorted((r.a, r.b, r.x, r.y) for r in met.collect()) == [(a, b, 50.0, 50.0) for a in range(1, 5) for b in range(a + 1, 5)]
     assert L.dealt(segs, ["line_id"], 10.0)[0].rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_clusters_by_small_cells(spark):
+    rng, nan = random.Random(3), float("nan")
+    crowd = [(rng.uniform(-6, 6), rng.uniform(-6, 6)) for _ in range(400)] + [(100 + rng.uniform(0, 60), rng.uniform(0, 60)) for _ in range(60)]
+    points = [(i, x, y) for i, (x, y) in enumerate(crowd)] + [(1000, 6.0 + 9.9, 0.0), (1001, -80.0, 0.0), (1002, nan, nan), (1003, nan, nan), (1004, None, 1.0), (1005, None, 1.0)]
+    root = {i: i for i, _, _ in points}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, ax, ay in points:
+        for j, bx, by in points:
+            if i < j and None not in (ax, bx) and math.hypot(ax - bx, ay - by) <= 10:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    frame = spark.createDataFrame(points, "id long, x double, y double")
+    assert {r.vertex: r.component for r in N.clusters(frame, 10.0).collect()} == {i: top(i) for i in root}
+    assert N._links(frame.where("id < 400").selectExpr("id", "x", "y", "0L AS label"), 10.0).count() == 0  # one cluster: no pairs
