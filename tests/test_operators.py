@@ -230,3 +230,16 @@ def test_wider_way_rounds_halves_up(spark):
 
     found = spark.createDataFrame([(1, 1.0, 526384.9999999999), (2, 1.0, 526385.0000000001), (3, 1.0, 520795.0), (4, 5.0, 5.5)], "k int, m double, whole double")
     assert {r.k: r.whole_km for r in Q.wider_way(found, "m").collect()} == {1: 526.39, 2: 526.39, 3: 520.8, 4: None}
+
+
+def test_share_within_many_marks(spark):
+    """Every sample near every mark: 3,000 x 100,000 comparisons before; cells that a mark covers whole need none."""
+    rng = random.Random(5)
+    marks = [(x, y, x + 300.0, y) for x, y in ((rng.uniform(-250, -50), rng.uniform(-5, 5)) for _ in range(3000))]
+    samples = spark.range(100000).select((F.col("id") % 10).alias("id"), F.col("id").alias("k"), (F.col("id") % 40).cast("double").alias("x"), F.when(F.col("id") % 10 < 5, F.col("id") % 13).otherwise(200.0).alias("y"))
+    frame = spark.createDataFrame(marks, "x1 double, y1 double, x2 double, y2 double")
+    plans = L.share_within(samples, frame, 25.0)
+    assert {r.id: r.share for r in plans.collect()} == {i: 1.0 if i < 5 else 0.0 for i in range(10)}
+    few = spark.createDataFrame([(1, k, float(x), float(y)) for k, (x, y) in enumerate([(0, 25), (0, 25.001), (10, -25), (335, 0), (-25, 0), (-18, 18)])], "id int, k int, x double, y double")
+    one = spark.createDataFrame([(0.0, 0.0, 310.0, 0.0)], frame.schema)
+    assert [r.share for r in L.share_within(few, one, 25.0).collect()] == [4 / 6]
