@@ -33,11 +33,13 @@ from linenet.llm.common import lean, quoted, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, SAMPLES = 11, 2
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 18
 ROWS_KEPT = 1 << 19
 UNITS = re.compile(r" *[^ \n]+| +|\n")
 BLANK, FALLBACK = 0x2581, 1 << 21
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+ONE = np.zeros(1, np.int64)
+FIRST_STEPS = 256
 
 
 class Vocabulary:
@@ -47,7 +49,7 @@ class Vocabulary:
         """pieces: text (a blank as U+2581), id, log weight."""
         self.longest, self.bytes_from, self.byte_weight = longest, bytes_from, byte_weight
         self.texts = {i: t for t, i, _ in pieces}
-        self._strings: list[str] | None = None
+        self._spelled: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         edges: dict[int, int] = {}
         ids, weights = [-1], [-np.inf]
         for text, number, weight in pieces:
@@ -92,20 +94,26 @@ class Vocabulary:
             left = left[~hit & (found >= 0)]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """The text whose segmentation this is. Byte pieces from 0x80 on pass as lone surrogates until the bytes are whole."""
-        if self._strings is None:
-            self._strings = [""] * (max(max(self.texts, default=0), self.bytes_from + 255) + 1)
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes of the pieces, end to end. Byte pieces are their byte."""
+        if self._spelled is None:
+            spelled = [b""] * (max(max(self.texts, default=0), self.bytes_from + 255) + 1)
             for i, t in self.texts.items():
-                self._strings[i] = t.replace(chr(BLANK), " ")
+                spelled[i] = t.replace(chr(BLANK), " ").encode()
             for b in range(256):
-                self._strings[self.bytes_from + b] = chr(b) if b < 0x80 else chr(0xDC00 + b)
-        text = "".join(map(self._strings.__getitem__, ids))[1:]
-        try:
-            text.encode()
-        except UnicodeEncodeError:
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
-        return text
+                spelled[self.bytes_from + b] = bytes([b])
+            sizes = np.array([len(x) for x in spelled], np.int64)
+            self._spelled = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(sizes) - sizes, sizes
+        whole, starts, sizes = self._spelled
+        sizes = sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(starts[ids] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return whole[at].tobytes()
+
+    def decode(self, ids: list[int]) -> str:
+        """The text whose segmentation this is."""
+        return self.spell(np.asarray(ids, np.int64)).decode("utf-8", "replace")[1:]
 
 
 @lru_cache(2)
@@ -124,14 +132,20 @@ def load(model: str) -> Vocabulary:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finisher."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(x: np.ndarray) -> np.ndarray:
     """In the open interval (0, 1)."""
-    return ((mix(x) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+    out = (mix(x) >> np.uint64(11)).astype(np.float64)
+    out += 0.5
+    out /= 1 << 53
+    return out
 
 
 class Lattice:
@@ -145,13 +159,25 @@ class Lattice:
         self.firsts, self.opens, self.several = np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, bool)
         self.ids, self.rows = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.lengths, self.sums, self.logs = np.zeros(0, np.int8), np.zeros(0), np.zeros(0)
+        self._room: dict[str, np.ndarray] = {}
+
+    def _append(self, **more: np.ndarray) -> None:
+        """Puts more behind each array named, which is the front of one with room to grow."""
+        for name, new in more.items():
+            old = getattr(self, name)
+            n, room = len(old) + len(new), self._room.get(name, old)
+            if n > len(room):
+                room = self._room[name] = np.empty(2 * n, old.dtype)
+                room[: len(old)] = old
+            room[len(old) : n] = new
+            setattr(self, name, room[:n])
 
     def add(self, units: list[str]) -> None:
         if not units:
             return
         vocabulary = self.vocabulary
         codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.array([len(u) for u in units], np.int64)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
         ends = np.cumsum(sizes)
         n = len(codes)
         literal = codes == BLANK
@@ -201,13 +227,10 @@ class Lattice:
             going = place + 1 < last[several]
             several, place = several[going], place[going] + 1
         sums[last - 1] = 1.0
-        self.starts, self.ends = np.append(self.starts, ends - sizes + self.n_rows), np.append(self.ends, ends + self.n_rows)
         opens = np.zeros(n, bool)
         opens[ends - sizes] = True
-        self.opens, self.firsts = np.append(self.opens, opens), np.append(self.firsts, last + self.n_entries)
-        self.several = np.append(self.several, (choices > 1)[rows])
-        self.rows = np.append(self.rows, (rows + self.n_rows).astype(np.int32))
-        self.ids, self.lengths, self.logs, self.sums = np.append(self.ids, ids), np.append(self.lengths, lengths), np.append(self.logs, logs), np.append(self.sums, sums)
+        self._append(starts=ends - sizes + self.n_rows, ends=ends + self.n_rows, opens=opens, firsts=last + self.n_entries, several=(choices > 1)[rows])
+        self._append(rows=rows + self.n_rows, ids=ids, lengths=lengths, logs=logs, sums=sums)
         self.n_rows, self.n_entries = self.n_rows + n, self.n_entries + m
 
     @staticmethod
@@ -217,7 +240,7 @@ class Lattice:
         left = room[rows] - lengths
         follows = np.where(left > 0, rows + lengths, n)
         mass = np.zeros(n + 1)
-        order = np.argsort(room, kind="stable")
+        order = np.argsort(room.astype(np.uint16) if room.max() < 1 << 16 else room, kind="stable")  # short keys sort by digits
         edges = np.append(np.flatnonzero(np.diff(room[order], prepend=-1)), n)
         for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             own = order[lo:hi]
@@ -266,8 +289,8 @@ class Row:
     def __init__(self, units: np.ndarray, seed: np.uint64):
         self.units, self.seed, self.paths, self.frontier, self.done = units, seed, [], [], []
 
-    def noise(self, path: int, n: int, salt: int) -> np.ndarray:
-        return -np.log(uniform(self.seed + np.uint64((path + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)) + np.uint64(salt * 0xD6E8FEB86659FD93 & (2**64 - 1)) + np.arange(n, dtype=np.uint64) * GOLD))
+    def noise(self, path: int, at: np.ndarray, salt: int) -> np.ndarray:
+        return -np.log(uniform(self.seed + np.uint64((path + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)) + np.uint64(salt * 0xD6E8FEB86659FD93 & (2**64 - 1)) + at.astype(np.uint64) * GOLD))
 
 
 def truncated(location, bound, noise):
@@ -280,7 +303,7 @@ def openings(lattice: Lattice, entries: np.ndarray, upto: np.ndarray, bound: flo
     """The k + 1 steps whose other pieces have the greatest perturbed log-probability, with it. upto: log-probability
     before each step, which falls; noise is at most -log(2**-54), about 38, and its logarithm at least -37, so steps far
     enough below the first ones cannot count and are not looked at."""
-    size = 512
+    size = FIRST_STEPS
     while True:
         at = np.flatnonzero(lattice.several[entries[:size]])
         location = upto[at] + np.log(np.maximum(-np.expm1(lattice.logs[entries[at]]), 1e-300))
@@ -293,7 +316,7 @@ def openings(lattice: Lattice, entries: np.ndarray, upto: np.ndarray, bound: flo
         size *= 2
     if not len(at):
         return []
-    shift = np.log(row.noise(path, min(size, len(upto)), 1)[at]) - location
+    shift = np.log(row.noise(path, at, 1)) - location
     best = np.argpartition(shift, k)[: k + 1] if len(shift) > k + 1 else np.arange(len(shift))
     return list(zip(at[best].tolist(), (-np.logaddexp(-bound, shift[best])).tolist(), strict=True))
 
@@ -333,7 +356,7 @@ def sample(lattice: Lattice, rows: list[Row], k: int) -> None:
                 heapq.heappush(row.frontier, (-value, path, n + t, 1 << int(lattice.lengths[entries[t]] - 1)))
 
     empty = np.zeros(0, np.int64), np.zeros(0)
-    go([(row, float(-np.log(row.noise(0, 1, 2)[0])), *empty, 0, -1) for row in rows])
+    go([(row, float(-np.log(row.noise(0, ONE, 2)[0])), *empty, 0, -1) for row in rows])
     for _ in range(k - 1):
         jobs = []
         for row in rows:
@@ -346,11 +369,11 @@ def sample(lattice: Lattice, rows: list[Row], k: int) -> None:
             lengths = lattice.lengths[choices].astype(np.int64)
             out = (mask >> (lengths - 1) & 1).astype(bool)
             chance = np.where(out, 0.0, np.exp(lattice.logs[choices]))
-            chosen = int(np.argmax(np.log(np.maximum(chance, 1e-300)) - np.log(row.noise(len(row.paths), int(lengths[-1]), 3)[lengths - 1]) + np.where(out, -np.inf, 0)))
+            chosen = int(np.argmax(np.log(np.maximum(chance, 1e-300)) - np.log(row.noise(len(row.paths), lengths - 1, 3)) + np.where(out, -np.inf, 0)))
             left = np.flatnonzero(~out & (np.arange(len(chance)) != chosen))
             if len(left):
                 location = float(log[:t].sum() + np.log(max(chance[left].sum(), 1e-300)))
-                again = float(truncated(location, -value, row.noise(len(row.paths), 1, 4)[0]))
+                again = float(truncated(location, -value, row.noise(len(row.paths), ONE, 4)[0]))
                 heapq.heappush(row.frontier, (-again, path, t, mask | 1 << int(lengths[chosen] - 1)))
             before = np.append(entries[:t], choices.start + chosen), np.append(log[:t], np.log(max(chance[chosen], 1e-300)))
             unit = int(lattice.opens[lattice.rows[entries[: t + 1]]].sum()) - 1  # a unit begins where a step stands at its first row
@@ -368,11 +391,12 @@ def ids_of(vocabulary: Vocabulary, lattice: Lattice, entries: np.ndarray) -> np.
     bare = np.flatnonzero(ids >= FALLBACK)
     if not len(bare):
         return ids
-    out, before = [], 0
-    for b in bare.tolist():
-        out += [ids[before:b], np.frombuffer(chr(int(ids[b]) - FALLBACK).encode("utf-8", "replace"), np.uint8).astype(np.int32) + vocabulary.bytes_from]
-        before = b + 1
-    return np.concatenate([*out, ids[before:]]).astype(np.int32)
+    c = ids[bare] - FALLBACK
+    sizes = np.ones(len(ids), np.int64)
+    sizes[bare] += (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+    out = np.repeat(ids, sizes)
+    out[out >= FALLBACK] = np.frombuffer(c.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass"), np.uint8).astype(np.int32) + vocabulary.bytes_from
+    return out
 
 
 class Numbers(dict):
@@ -422,10 +446,11 @@ def encode(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int =
                 if lattice.n_rows > ROWS_KEPT:
                     lattice = Lattice(vocabulary)
                 for i, draws in enumerate(segment(vocabulary, texts[begin:end], seeds[begin:end], k, lattice), begin):
+                    whole = (" " + texts[i]).encode() if texts[i] else b""
                     for d, x in enumerate(draws, 1):
                         own = x.pop("ids")
                         pieces.append(own)
-                        out.append({"doc_id": ids[i], "draw": d, "n_pieces": len(own), **x, "ids_crc32": zlib.crc32(own.tobytes()), "decoded": vocabulary.decode(own.tolist()) == (texts[i] or "")})
+                        out.append({"doc_id": ids[i], "draw": d, "n_pieces": len(own), **x, "ids_crc32": zlib.crc32(own.tobytes()), "decoded": vocabulary.spell(own) == whole})
                 made = pa.RecordBatch.from_pylist(out, schema=pa.schema(list(kinds.items())))
                 if with_ids:  # from the arrays as they are: a list for each row would cost an object for each piece
                     ends = np.cumsum([0, *map(len, pieces)], dtype=np.int32)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -201,6 +202,22 @@ def test_encode_round_trip(spark):
     assert pieces.encode(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_a_group_takes_little_memory(vocabulary):
+    """Two workers of an executor segment a group each, beside a heap that earlier stages have filled."""
+    rng, texts = random.Random(3), []
+    while sum(map(len, texts)) < pieces.GROUP_CHARS:
+        texts.append(" ".join("".join(rng.choices("abcdeéß漢", k=rng.randint(1, 10))) for _ in range(500)))
+    tracemalloc.start()
+    try:
+        draws = pieces.segment(vocabulary, texts, list(range(len(texts))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 100e6
+    for text, found in zip(texts, draws, strict=True):  # byte pieces among others
+        assert all(vocabulary.spell(x["ids"]) == (" " + text).encode() for x in found)
+
+
 def test_registered_uses_return_the_segmentations(spark, sf):
     import corpus_pipeline
 
