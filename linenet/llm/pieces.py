@@ -33,8 +33,8 @@ from linenet.llm.common import lean, quoted, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, SAMPLES = 11, 2
-GROUP_CHARS = 1 << 18
-ROWS_KEPT = 1 << 19
+GROUP_CHARS = 1 << 17
+ROWS_KEPT = 1 << 18
 UNITS = re.compile(r" *[^ \n]+| +|\n")
 BLANK, FALLBACK = 0x2581, 1 << 21
 GOLD = np.uint64(0x9E3779B97F4A7C15)
