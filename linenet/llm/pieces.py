@@ -172,6 +172,16 @@ class Lattice:
             room[len(old) : n] = new
             setattr(self, name, room[:n])
 
+    def cut(self, most: int) -> None:
+        """Keeps the first units, of `most` rows at most: the commonest words are among those seen first."""
+        units = int(np.searchsorted(self.ends, most, side="right"))
+        self.n_rows = int(self.ends[units - 1]) if units else 0
+        self.n_entries = int(self.firsts[self.n_rows])
+        self.numbers = Numbers(islice(self.numbers.items(), units))
+        sizes = {"starts": units, "ends": units, "firsts": self.n_rows + 1, "opens": self.n_rows}
+        for name in ("starts", "ends", "firsts", "opens", "several", "ids", "rows", "lengths", "sums", "logs"):
+            setattr(self, name, getattr(self, name)[: sizes.get(name, self.n_entries)])
+
     def add(self, units: list[str]) -> None:
         if not units:
             return
@@ -443,8 +453,10 @@ def encode(docs: DataFrame, text: str = "text", ident: str = "doc_id", k: int =
                     chars += len(texts[end] or "")
                     end += 1
                 out, pieces = [], []
-                if lattice.n_rows > ROWS_KEPT:
+                if lattice.n_rows > 2 * ROWS_KEPT:  # a long text's, whose arrays are large
                     lattice = Lattice(vocabulary)
+                elif lattice.n_rows > ROWS_KEPT:
+                    lattice.cut(ROWS_KEPT // 2)
                 for i, draws in enumerate(segment(vocabulary, texts[begin:end], seeds[begin:end], k, lattice), begin):
                     whole = (" " + texts[i]).encode() if texts[i] else b""
                     for d, x in enumerate(draws, 1):

@@ -218,6 +218,23 @@ def test_a_group_takes_little_memory(vocabulary):
         assert all(vocabulary.spell(x["ids"]) == (" " + text).encode() for x in found)
 
 
+def test_first_units_stay(vocabulary):
+    """A lattice that has grown keeps the commonest words, which it had to look up again before."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdeé漢", k=rng.randint(1, 5))) for _ in range(200)) for _ in range(30)]
+    lattice, found = pieces.Lattice(vocabulary), []
+    for i, text in enumerate(texts):
+        if lattice.n_rows > 4000:
+            lattice.cut(2000)
+            assert 1900 < lattice.n_rows <= 2000 and len(lattice.numbers) == len(lattice.ends) and lattice.n_entries == len(lattice.ids) == lattice.firsts[-1]
+        found += pieces.segment(vocabulary, [text], [i], 3, lattice)
+    for i, a in enumerate(found):
+        b = pieces.segment(vocabulary, texts[i : i + 1], [i], 3)[0]
+        assert [x["ids"].tolist() for x in a] == [x["ids"].tolist() for x in b] and [x["perturbed"] for x in a] == [x["perturbed"] for x in b]
+    lattice.cut(0)
+    assert lattice.n_rows == 0 and pieces.segment(vocabulary, texts[:1], [0], 3, lattice)[0][0]["perturbed"] == found[0][0]["perturbed"]
+
+
 def test_registered_uses_return_the_segmentations(spark, sf):
     import corpus_pipeline
 
