@@ -13,7 +13,7 @@ order that all documents share gives the same links), so its tables are bounded
 
 Cases: words are as the contract has them; with fewer words than a shingle the whole sequence is one shingle; a null,
 empty or blank text has the empty set, no links, and its own doc_id as component; a null doc_id is never the smallest;
-very long texts are read whole (a group of texts is cut after GROUP_BYTES, not a text); repeated rows and ties are
+very long texts are read whole (a group of texts is cut after TEXT_BYTES, not a text); repeated rows and ties are
 linked; an empty table gives an empty table; other columns are carried or not read, whatever their names. Token and class
 hashes have 64 bits.
 """
@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from linenet.llm.common import discard, lean, materialize, quoted, sliced, unpack, whole_row
 from linenet.llm.components import components
-from linenet.llm.suffix import GROUP_BYTES, Hashes, U, mix
+from linenet.llm.suffix import Hashes, U, mix
 
 WORDS_EACH = 5
 NUMERATOR, DENOMINATOR = 4, 5  # similarity of 0.8
 KEYS = 6
 GROUP_TOKENS = 1_000_000
+TEXT_BYTES = 1 << 18
 PIVOTS = 3
 FREQUENT = 1 << 17
 SEEN = 2
@@ -93,7 +94,7 @@ def sets_of(texts: list[str], rarity=None, words_seen: list | None = None):
     while begin < len(texts):
         end, size = begin, 0
         part = []
-        while end < len(texts) and (end == begin or size < GROUP_BYTES):
+        while end < len(texts) and (end == begin or size < TEXT_BYTES):
             part.append(texts[end].encode())
             size += len(part[-1])
             end += 1

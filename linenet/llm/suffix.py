@@ -44,9 +44,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64, for i up to n."""
+    """BASE**i and BASE**-i modulo 2**64, for i up to n. They stay with the worker, so there are at most twice as many as were
+    asked for."""
     if not _powers or len(_powers[0]) <= n:
-        size = max(n + 1, 2 * GROUP_BYTES)
+        size = 2 * n + 1
         inverse = pow(BASE, -1, 1 << 64)
         _powers[:] = [np.concatenate([[U(1)], np.full(size, U(b))]).cumprod(dtype=np.uint64) for b in (BASE, inverse)]
     return _powers[0], _powers[1]

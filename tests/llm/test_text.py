@@ -235,6 +235,20 @@ def test_first_units_stay(vocabulary):
     assert lattice.n_rows == 0 and pieces.segment(vocabulary, texts[:1], [0], 3, lattice)[0][0]["perturbed"] == found[0][0]["perturbed"]
 
 
+def test_sets_take_little_memory():
+    """Of 3 MB of texts, with the powers that a worker keeps for all later tasks."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(350)) for _ in range(1500)]
+    suffix._powers.clear()
+    tracemalloc.start()
+    try:
+        sizes = [len(s) for _, sets in jaccard.sets_of(texts) for s in sets]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == [346] * 1500 and peak < 40e6 and sum(x.nbytes for x in suffix._powers) < 10e6
+
+
 def test_registered_uses_return_the_segmentations(spark, sf):
     import corpus_pipeline
 
